@@ -1,14 +1,14 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Every window of a document that is as long as a benchmark item, and holds at
-least one of the benchmark's shingles, gets a 64-bit SimHash of its weighted
+least one shingle of the items of that length, gets a 64-bit SimHash of its weighted
 shingles.  The items' fingerprints lie in a multi-index: with ``RADIUS`` + 1
 blocks of bits, two fingerprints within the radius agree in a whole block, so
 the index returns all of them.  Candidates are verified by the exact weighted
 Jaccard similarity of their shingles, at least ``MIN_SIMILARITY``.
 
-A window without a shingle of the benchmark has similarity 0 with every item;
-leaving its fingerprint out loses nothing.
+A window without a shingle of an item has similarity 0 with it; leaving its
+fingerprint out loses nothing.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at
 most ``BLOCK_BYTES`` of text, one pass over the documents for each.
@@ -41,51 +41,71 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 
 class Items:
-    """A block of benchmark items with as many words to a shingle."""
+    """Benchmark items of one length, with their fingerprints in a multi-index.
 
-    def __init__(self, k: int, items: list[tuple[int, np.ndarray, int]], df: dict[int, int], total: int):
+    ``weights`` tells the weight of every shingle of the block; whole numbers,
+    so that sums are exact in any order.
+    """
+
+    def __init__(self, k: int, size: int, items: list[tuple[int, np.ndarray]], weights: Weights):
+        self.k, self.size, self.weights = k, size, weights
+        self.ids = [i for i, _ in items]
+        self.bags = [bag(s, weights.of(s)) for _, s in items]
+        self.prints = np.array([simhash(s, weights.of(s)) for _, s in items], np.uint64)
+        bounds = np.linspace(0, 64, RADIUS + 2).round().astype(np.uint64)
+        self.blocks = []
+        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+            mask = (np.uint64(1) << (hi - lo)) - np.uint64(1)
+            values = (self.prints >> lo) & mask
+            order = np.argsort(values, kind="stable")
+            self.blocks.append((lo, mask, values[order], order))
+
+    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Prints, items and distances of all pairs within the radius, by way of the blocks."""
+        found = []
+        for lo, mask, values, order in self.blocks:
+            own = (prints >> lo) & mask
+            first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+            n = last - first
+            place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+            found.append(np.repeat(np.arange(len(own)), n) * len(self.ids) + order[place])
+        pairs = np.unique(np.concatenate(found))
+        which, item = np.divmod(pairs, len(self.ids))
+        distance = np.bitwise_count(prints[which] ^ self.prints[item])
+        close = distance <= RADIUS
+        return which[close], item[close], distance[close]
+
+
+class Weights:
+    """Rare shingles of the benchmark weigh more; those it lacks weigh as the rarest."""
+
+    def __init__(self, shingles_of_items: list[np.ndarray]):
+        total = len(shingles_of_items)
+        self.known, df = np.unique(np.concatenate([np.unique(s) for s in shingles_of_items]), return_counts=True)
+        self.weight = np.round(8 * np.log1p(total / df)).astype(np.int64)
+        self.unseen = round(8 * np.log1p(total))
+
+    def find(self, grams: np.ndarray) -> np.ndarray:
+        """Places among the known shingles, -1 for others."""
+        at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
+        return np.where(self.known[at] == grams, at, -1)
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        at = self.find(grams)
+        return np.where(at >= 0, self.weight[at], self.unseen)
+
+
+class Block:
+    """Items of a bounded amount of text with as many words to a shingle: ``groups`` by length, and which groups a shingle leads to."""
+
+    def __init__(self, k: int, items: list[tuple[int, np.ndarray, int]]):
         self.k = k
-        self.ids = [i for i, _, _ in items]
-        self.lengths = np.array([n for _, _, n in items])
-        self.known = np.array(sorted({int(x) for _, s, _ in items for x in s}), np.uint64)
-        # Whole numbers, so that sums are exact in any order.
-        self.weight = np.array([round(8 * np.log1p(total / df[int(x)])) for x in self.known], np.int64)
-        self.unseen = round(8 * np.log1p(total))  # of a shingle that no item has
-        self.bags = [bag(s, self.weights(s)) for _, s, _ in items]
-        prints = np.array([simhash(s, self.weights(s)) for _, s, _ in items], np.uint64)
-        self.prints = prints
-        self.bounds = np.linspace(0, 64, RADIUS + 2).round().astype(np.uint64)
-        self.index: list[dict[int, list[int]]] = []
-        for lo, hi in zip(self.bounds[:-1], self.bounds[1:], strict=True):
-            block: dict[int, list[int]] = {}
-            for j, p in enumerate(prints):
-                block.setdefault(int((p >> lo) & ((np.uint64(1) << (hi - lo)) - np.uint64(1))), []).append(j)
-            self.index.append(block)
-
-    def weights(self, grams: np.ndarray) -> np.ndarray:
-        out = np.full(len(grams), self.unseen, np.int64)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, grams), len(self.known) - 1)
-            hit = self.known[at] == grams
-            out[hit] = self.weight[at[hit]]
-        return out
-
-    def near(self, prints: np.ndarray) -> list[tuple[int, int, int]]:
-        """``(print, item, distance)`` of all pairs within the radius, by way of the blocks."""
-        pairs: set[tuple[int, int]] = set()
-        distinct, inverse = np.unique(prints, return_inverse=True)
-        for (lo, hi), block in zip(zip(self.bounds[:-1], self.bounds[1:], strict=True), self.index, strict=True):
-            values = (distinct >> lo) & ((np.uint64(1) << (hi - lo)) - np.uint64(1))
-            for d, v in enumerate(values.tolist()):
-                pairs.update((d, j) for j in block.get(v, ()))
-        if not pairs:
-            return []
-        both = np.array(sorted(pairs))
-        distance = np.bitwise_count(distinct[both[:, 0]] ^ self.prints[both[:, 1]])
-        close: dict[int, list[tuple[int, int]]] = {}
-        for (d, j), x in zip(both[distance <= RADIUS].tolist(), distance[distance <= RADIUS].tolist(), strict=True):
-            close.setdefault(d, []).append((j, x))
-        return [(i, j, x) for i, d in enumerate(inverse.tolist()) for j, x in close.get(d, ())]
+        self.weights = Weights([s for _, s, _ in items])
+        self.groups = [Items(k, n, [(i, s) for i, s, m in items if m == n], self.weights) for n in sorted({n for *_, n in items})]
+        number = {g.size: j for j, g in enumerate(self.groups)}
+        self.leads = np.zeros((len(self.weights.known), len(self.groups)), bool)
+        for _, s, n in items:
+            self.leads[self.weights.find(s), number[n]] = True
 
 
 def bag(grams: np.ndarray, weights: np.ndarray) -> dict[int, tuple[int, int]]:
@@ -111,30 +131,23 @@ def simhash(grams: np.ndarray, weights: np.ndarray) -> int:
     return int(((_signs(grams, weights).sum(0) > 0).astype(np.uint64) << _BITS).sum(dtype=np.uint64)) if len(grams) else 0
 
 
-def item_blocks(benchmark: list[tuple[int, str]]) -> list[list[Items]]:
-    """The benchmark in blocks of bounded text, each grouped by words to a shingle."""
-    blocks, size = [[]], 0
+def item_blocks(benchmark: list[tuple[int, str]]) -> list[list[Block]]:
+    """The benchmark in blocks of bounded text, each parted by words to a shingle."""
+    parts, size = [[]], 0
     for item_id, text in benchmark:
         size += len(text or "")
-        if size > BLOCK_BYTES and blocks[-1]:
-            blocks.append([])
+        if size > BLOCK_BYTES and parts[-1]:
+            parts.append([])
             size = len(text or "")
-        blocks[-1].append((item_id, text))
+        parts[-1].append((item_id, text))
     out = []
-    for block in blocks:
+    for part in parts:
         by_k: dict[int, list[tuple[int, np.ndarray, int]]] = {}
-        for item_id, text in block:
+        for item_id, text in part:
             w = words_of(text)
             if n := len(w.hash):
                 by_k.setdefault(min(K, n), []).append((item_id, shingles(w, min(K, n))[1], n))
-        groups = []
-        for k, items in sorted(by_k.items()):
-            df: dict[int, int] = {}
-            for _, s, _ in items:
-                for x in {int(g) for g in s}:
-                    df[x] = df.get(x, 0) + 1
-            groups.append(Items(k, items, df, len(items)))
-        out.append(groups)
+        out.append([Block(k, items) for k, items in sorted(by_k.items())])
     return out
 
 
@@ -142,72 +155,70 @@ def windows_near(items: Items, grams: np.ndarray, hits: np.ndarray) -> list[tupl
     """Verified ``(item, start, shingles, similarity, distance)`` in one document, the best for each item and run of hits.
 
     ``grams`` are the document's shingles in order, ``hits`` the places of those
-    that the benchmark has.
+    that the items have.  A document shorter than the items is one window.
     """
     found: list[tuple[int, int, int, float, int]] = []
-    lengths = np.unique(items.lengths) - items.k + 1  # in shingles
-    longest, n = int(lengths[-1]), len(grams)
-    for run in np.split(hits, np.flatnonzero(np.diff(hits) > longest) + 1):
-        lo, hi = max(0, int(run[0]) - longest + 1), min(n, int(run[-1]) + longest)
+    size, n = items.size - items.k + 1, len(grams)
+    for run in np.split(hits, np.flatnonzero(np.diff(hits) > size) + 1):
+        lo, hi = max(0, int(run[0]) - size + 1), min(n, int(run[-1]) + size)
         own = grams[lo:hi]
-        weights = items.weights(own)
+        weights = items.weights.of(own)
         sums = np.zeros((len(own) + 1, 64), np.int64)
         np.cumsum(_signs(own, weights), axis=0, out=sums[1:])
         known = np.zeros(len(own) + 1, np.int64)
         known[run - lo + 1] = 1
         known = np.cumsum(known)
-        starts, ends = [], []
-        for size in lengths.tolist():
-            s = np.arange(max(1, len(own) - size + 1))  # a document shorter than the item is one window
-            e = np.minimum(s + size, len(own))
-            some = known[e] > known[s]
-            starts.append(s[some])
-            ends.append(e[some])
-        start, end = np.concatenate(starts), np.concatenate(ends)
+        start = np.arange(max(1, len(own) - size + 1))
+        end = np.minimum(start + size, len(own))
+        some = known[end] > known[start]
+        start, end = start[some], end[some]
         best: dict[int, tuple[float, int, int, int]] = {}
         for at in range(0, len(start), CHUNK):
             s, e = start[at : at + CHUNK], end[at : at + CHUNK]
             prints = (((sums[e] - sums[s]) > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
-            candidates = sorted(items.near(prints), key=lambda x: x[2])
-            for i, item, distance in candidates:
-                if item in best and best[item][0] >= 1.0:
+            which, item, distance = items.near(prints)
+            for j in np.argsort(distance, kind="stable").tolist():
+                i, a, b = int(item[j]), int(s[which[j]]), int(e[which[j]])
+                if i in best and best[i][0] >= 1.0:
                     continue
-                a, b = int(s[i]), int(e[i])
-                sim = similarity(bag(own[a:b], weights[a:b]), items.bags[item])
-                if sim >= MIN_SIMILARITY and (item not in best or sim > best[item][0]):
-                    best[item] = (sim, lo + a, b - a, distance)
-        found += [(item, s, size, sim, distance) for item, (sim, s, size, distance) in best.items()]
+                sim = similarity(bag(own[a:b], weights[a:b]), items.bags[i])
+                if sim >= MIN_SIMILARITY and (i not in best or sim > best[i][0]):
+                    best[i] = (sim, lo + a, b - a, int(distance[j]))
+        found += [(items.ids[i], s, m, sim, distance) for i, (sim, s, m, distance) in best.items()]
     return found
 
 
-def _finder(groups: list[Items], names: list[str]):
+def _finder(blocks: list[Block], names: list[str]):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmaps = []
-        for items in groups:
-            bits = max(16, min(27, int(np.log2(len(items.known) + 1)) + 6))
+        for block in blocks:
+            known = block.weights.known
+            bits = max(16, min(27, int(np.log2(len(known) + 1)) + 6))
             bitmap = np.zeros(1 << bits, bool)
-            bitmap[(items.known & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
+            bitmap[(known & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
             bitmaps.append((np.uint64((1 << bits) - 1), bitmap))
         for batch in batches:
             rows: list[int] = []
             out: list[tuple[int, int, int, float, int]] = []
             for lo, _, data, offsets in slices(batch.column(1)):
                 w = Words(data, offsets)
-                for items, (mask, bitmap) in zip(groups, bitmaps, strict=True):
-                    at, grams = shingles(w, items.k)
+                for block, (mask, bitmap) in zip(blocks, bitmaps, strict=True):
+                    at, grams = shingles(w, block.k)
                     maybe = np.flatnonzero(bitmap[(grams & mask).astype(np.int64)])
-                    maybe = maybe[np.isin(grams[maybe], items.known)]
+                    place = block.weights.find(grams[maybe])
+                    maybe, place = maybe[place >= 0], place[place >= 0]
                     doc = w.doc[at[maybe]]
                     for d in np.unique(doc).tolist():
-                        first = int(np.searchsorted(at, w.first[d]))
-                        last = int(np.searchsorted(at, w.first[d + 1]))
-                        for item, start, size, sim, distance in windows_near(items, grams[first:last], maybe[doc == d] - first):
-                            rows.append(lo + d)
-                            out.append((items.ids[item], start, size + items.k - 1, sim, distance))
+                        first, last = (int(np.searchsorted(at, w.first[x])) for x in (d, d + 1))
+                        mine = slice(int(np.searchsorted(doc, d)), int(np.searchsorted(doc, d, "right")))
+                        leads = block.leads[place[mine]]
+                        for g in np.flatnonzero(leads.any(0)).tolist():
+                            for item, start, size, sim, distance in windows_near(block.groups[g], grams[first:last], maybe[mine][leads[:, g]] - first):
+                                rows.append(lo + d)
+                                out.append((item, start, size + block.k - 1, sim, distance))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64()), pa.array([x[3] for x in out], pa.float64()), pa.array([x[4] for x in out], pa.int32())], names
-            )
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int32())
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array([x[i] for x in out], kind) for i, kind in enumerate(kinds))], names)
 
     return find
 
@@ -223,7 +234,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     items = [(r[0], r[1]) for r in benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string")).toLocalIterator()]
     names = ["doc_id", "item_id", "start_word", "n_words", "similarity", "distance"]
     schema = f"doc_id {kind}, item_id long, start_word long, n_words long, similarity double, distance int"
-    return reduce(DataFrame.unionByName, [rows.mapInArrow(_finder(groups, names), schema) for groups in item_blocks(items)])
+    return reduce(DataFrame.unionByName, [rows.mapInArrow(_finder(blocks, names), schema) for blocks in item_blocks(items)])
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -232,8 +243,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The rows pass through the finder itself, so that no join by id is needed.
     """
     items = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).toLocalIterator()]
-    for groups in item_blocks(items):
-        find = _finder(groups, ["row", "item_id", "start_word", "n_words", "similarity", "distance"])
+    for blocks in item_blocks(items):
+        find = _finder(blocks, ["row", "item_id", "start_word", "n_words", "similarity", "distance"])
         at = docs.columns.index(text_col)
 
         def clean(batches: Iterator[pa.RecordBatch], find=find, at=at) -> Iterator[pa.RecordBatch]:
