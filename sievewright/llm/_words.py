@@ -79,12 +79,19 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-        np.cumprod(out, out=out)
-    return out
+    """1, base, base squared and so on; the longest yet asked for is held."""
+    held = _POWERS.get(int(base))
+    if held is None or len(held) < n:
+        held = np.full(max(n, SLICE + 1), base, np.uint64)
+        held[0] = 1
+        np.cumprod(held, out=held)
+        if n <= 4 * SLICE:
+            _POWERS[int(base)] = held
+    return held[:n]
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:

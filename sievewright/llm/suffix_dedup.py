@@ -8,8 +8,8 @@ every 50-byte string, names for the sampled positions, the remaining positions
 placed by the sample that they contain, and the comparison of neighbours in the
 sorted order.
 
-* Sample: in each 50-byte string, the 24-byte gram with the least hash (its
-  anchor; equal strings have it at the same place).  About one position in 14.
+* Sample: in each 50-byte string, the 18-byte gram with the least hash (its
+  anchor; equal strings have it at the same place).  About one position in 17.
 * Names: anchors' hashes are dealt out by value; an anchor that no other
   document has is answered with a zero bit, and its strings are done.
 * Remaining positions: each string belongs to one anchor.  The bytes around
@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from sievewright.llm._common import release, stored
 from sievewright.llm._words import powers, slices
 
 LENGTH = 50
-GRAM = 24
+GRAM = 18
 #: Bytes of text in a slice (one document at least), and to each bucket.
 SLICE_BYTES, BUCKET_BYTES, MIN_BUCKETS = 1 << 20, 1 << 22, 256
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -105,29 +106,51 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)[:-1])), sizes)
 
 
+def _packed(data: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data.tobytes())
+
+
+def _unpacked(data: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column(1), SLICE_BYTES):
             ids = batch.column(0).slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["ids", "offsets", "data"]
+                [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([_packed(data)], pa.binary())], ["ids", "offsets", "data"]
             )
 
 
 def _arrays(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = batch.column("ids")[row].as_py()
-    data = np.frombuffer(batch.column("data")[row].as_buffer(), np.uint8)
+    data = _unpacked(batch.column("data")[row])
     offsets = np.frombuffer(batch.column("offsets")[row].as_buffer(), np.int64)
     return np.array([_LAST if i is None else i for i in ids], np.int64), data, offsets
 
 
-def _names(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys by bucket: the keys, and the buckets with their first places (and the end)."""
-    distinct = np.unique(keys)
-    bucket = ((distinct >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    used, first = np.unique(bucket[order], return_index=True)
-    return distinct[order], used, np.append(first, len(order))
+class _Names:
+    """Distinct keys of a slice, dealt to buckets: ``keys`` in the order of ``used`` buckets, which begin at ``first``.
+
+    ``of`` tells the place of each anchor's key, ``local`` which keys several documents have.
+    """
+
+    def __init__(self, key: np.ndarray, doc: np.ndarray, buckets: int):
+        order = np.argsort(key, kind="stable")  # documents ascend within a key
+        ordered = key[order]
+        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), ordered[1:] != ordered[:-1])))
+        last = np.append(head[1:], len(key)) - 1
+        distinct, local = ordered[head], doc[order][head] != doc[order][last]
+        bucket = ((distinct >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+        deal = np.argsort(bucket, kind="stable")
+        self.keys, self.local = distinct[deal], local[deal]
+        self.used, self.first = np.unique(bucket[deal], return_index=True)
+        self.first = np.append(self.first, len(deal))
+        place = np.empty(len(deal), np.int64)
+        place[deal] = np.arange(len(deal))
+        self.of = np.empty(len(key), np.int64)
+        self.of[order] = np.repeat(place, last - head + 1)
 
 
 def _name(buckets: int):
@@ -135,7 +158,9 @@ def _name(buckets: int):
         for batch in batches:
             for row in range(batch.num_rows):
                 _, data, offsets = _arrays(batch, row)
-                keys, used, first = _names(anchors(data, offsets)[2], buckets)
+                _, _, key, doc = anchors(data, offsets)
+                names = _Names(key, doc, buckets)
+                keys, used, first = names.keys, names.used, names.first
                 low, high = (keys & _LOW32).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)
                 cut = list(zip(first[:-1].tolist(), first[1:].tolist(), strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -174,17 +199,13 @@ def _context(buckets: int):
                 ids, data, offsets = _arrays(batch, row)
                 number = batch.column("slice")[row].as_py()
                 lo, hi, key, doc = anchors(data, offsets)
-                keys, used, first = _names(key, buckets)
-                twin = np.zeros(len(keys), bool)
+                known = _Names(key, doc, buckets)
+                twin = known.local.copy()
                 answers = {a["bucket"]: a["bits"] for a in batch.column("answers")[row].as_py() or []}
-                for b, x, y in zip(used.tolist(), first[:-1].tolist(), first[1:].tolist(), strict=True):
+                for b, x, y in zip(known.used.tolist(), known.first[:-1].tolist(), known.first[1:].tolist(), strict=True):
                     if b in answers:
-                        twin[x:y] = np.unpackbits(np.frombuffer(answers[b], np.uint8), count=y - x)
-                # Anchors of several documents of this slice.
-                order = np.lexsort((doc, key))
-                k, d = key[order], doc[order]
-                more = np.flatnonzero((k[1:] == k[:-1]) & (d[1:] != d[:-1]))
-                repeated = np.isin(key, np.concatenate((keys[twin], k[more])))
+                        twin[x:y] |= np.unpackbits(np.frombuffer(answers[b], np.uint8), count=y - x).astype(bool)
+                repeated = twin[known.of]
                 lo, hi, key, own = lo[repeated], hi[repeated], key[repeated], ids[doc[repeated]]
                 # Equal contexts within the slice: only those of the smallest id are sent, the others are answered.
                 sums = np.zeros(len(data) + 1, np.uint64)
@@ -206,10 +227,10 @@ def _context(buckets: int):
                 used, first = np.unique(bucket, return_index=True)
                 rows: list[list] = [[], [], [], []]
                 for x, y in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
-                    rows[0].append(lo[x:y].astype(np.int64).tobytes())
+                    rows[0].append(lo[x:y].astype(np.uint32).tobytes())
                     rows[1].append((hi - lo)[x:y].astype(np.uint8).tobytes())
                     rows[2].append(own[x:y].tobytes())
-                    rows[3].append(data[_ranges(lo[x:y], (hi - lo)[x:y] + LENGTH - 1)].tobytes())
+                    rows[3].append(_packed(data[_ranges(lo[x:y], (hi - lo)[x:y] + LENGTH - 1)]))
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.full(len(used), number), pa.int64()), *(pa.array(r, pa.binary()) for r in rows)], names)
 
     return context
@@ -218,45 +239,48 @@ def _context(buckets: int):
 def repeats(data: np.ndarray, starts: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Which of the strings ``data[s : s + LENGTH]`` equal one of a smaller owner."""
     hashes = gram_hashes(data, LENGTH)[starts]
-    order = np.argsort(hashes, kind="stable")
-    at = starts[order]
-    same = hashes[order][1:] == hashes[order][:-1]
+    order = np.argsort(hashes)
+    at, ordered = starts[order], hashes[order]
+    same = ordered[1:] == ordered[:-1]
     # Neighbours with one hash are compared in words of eight bytes; the last overlaps the one before.
-    words = np.lib.stride_tricks.as_strided(data, (max(0, len(data) - 7), 8), (1, 1))
+    words = np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
     pairs = np.flatnonzero(same)
     wrong: list[int] = []
     for part in range(0, len(pairs), 1 << 18):
         p = pairs[part : part + (1 << 18)]
-        equal = np.ones(len(p), bool)
+        a, b = at[p], at[p + 1]
+        unequal = np.zeros(len(p), np.uint64)
         for shift in (*range(0, LENGTH - 7, 8), LENGTH - 8):
-            equal &= (words[at[p] + shift] == words[at[p + 1] + shift]).all(1)
-        wrong += p[~equal].tolist()
-    group = np.concatenate((np.zeros(min(1, len(order)), np.int64), np.cumsum(~same)))
-    if wrong:  # one hash for different strings: such groups are told apart by their bytes
-        top = int(group[-1]) + 1
-        for g in {int(group[i]) for i in wrong}:
-            named: dict[bytes, int] = {}
-            for i in np.flatnonzero(group == g).tolist():
-                group[i] = named.setdefault(data[at[i] : at[i] + LENGTH].tobytes(), top + len(named))
-            top += len(named)
-    least = np.full(int(group.max()) + 1 if len(group) else 0, _LAST)
-    np.minimum.at(least, group, owner[order])
+            unequal |= words[a + shift] ^ words[b + shift]
+        wrong += p[unequal != 0].tolist()
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(order)), bool), ~same)))
+    sizes = np.diff(np.append(head, len(order)))
+    least = np.repeat(np.minimum.reduceat(owner[order], head), sizes) if len(head) else np.zeros(0, np.int64)
+    group = np.searchsorted(head, wrong, "right") - 1
+    for g in np.unique(group).tolist():  # one hash for different strings: they are told apart by their bytes
+        members = np.arange(head[g], head[g] + sizes[g])
+        named: dict[bytes, int] = {}
+        for i in members.tolist():
+            text = data[at[i] : at[i] + LENGTH].tobytes()
+            named[text] = min(named.get(text, _LAST), int(owner[order[i]]))
+        least[members] = [named[data[at[i] : at[i] + LENGTH].tobytes()] for i in members.tolist()]
     out = np.zeros(len(starts), bool)
-    out[order] = owner[order] > least[group]
+    out[order] = owner[order] > least
     return out
 
 
 def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """Runs of starts of removed strings for each slice."""
     table = table.combine_chunks()
-    rows = [[np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("starts", np.int64), ("counts", np.uint8), ("ids", np.int64), ("bytes", np.uint8))]
     if key[0].as_py() < 0:  # answered within the slice
         return table.select(["slice", "starts", "counts"])
+    rows = [[np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("starts", np.uint32), ("counts", np.uint8), ("ids", np.int64))]
+    rows.append([_unpacked(x) for x in table.column("bytes")])
     data = np.concatenate(rows[3])
     counts = np.concatenate(rows[1]).astype(np.int64)
     begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts + LENGTH - 1)[:-1]))
     removed = repeats(data, _ranges(begin, counts), np.repeat(np.concatenate(rows[2]), counts))
-    place = _ranges(np.concatenate(rows[0]), counts)
+    place = _ranges(np.concatenate(rows[0]).astype(np.int64), counts)
     per_row = np.array([int(x.sum(dtype=np.int64)) for x in rows[1]])
     first_of_context = np.zeros(len(removed), bool)
     first_of_context[(np.cumsum(counts) - counts)[counts > 0]] = True
