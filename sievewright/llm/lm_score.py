@@ -35,28 +35,46 @@ BIGRAM, UNIGRAM = 0.6, 0.35
 PARTS = 64
 
 
-def ids_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary ids of the words, the ids before them (``VOCAB`` at the start of a text), and cells of the pairs."""
-    own = (w.hash >> np.uint64(48)).astype(np.int64) & (VOCAB - 1)
+def vocabulary_ids(w: Words) -> np.ndarray:
+    return (w.hash >> np.uint64(48)).astype(np.uint16)
+
+
+def with_context(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids, the ids before them (``VOCAB`` at the start of a text), and cells of the pairs; texts begin at ``first``."""
+    own = own.astype(np.int64)
     before = np.concatenate((np.full(1, VOCAB), own[:-1])) if len(own) else own
-    first = w.first[:-1]
-    before[first[first < w.first[1:]]] = VOCAB
+    before[first[first < len(own)]] = VOCAB
     pair = (before.astype(np.uint64) * np.uint64(VOCAB + 1) + own.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
     return own, before, (pair >> np.uint64(45)).astype(np.int64) & (CELLS - 1)
 
 
+def ids_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return with_context(vocabulary_ids(w), w.first[:-1])
+
+
 def _tables(which: int) -> tuple[str, int]:
     return (("unigram", VOCAB), ("context", VOCAB + 1), ("bigram", CELLS))[which]
 
 
+def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Two bytes a word: what goes through the join with the targets instead of the text."""
+    for batch in batches:
+        for lo, hi, data, offsets in slices(batch.column(1)):
+            w = Words(data, offsets)
+            ids = vocabulary_ids(w)
+            blobs = [ids[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = [[np.zeros(_tables(t)[1], np.int64) for t in range(3)] for _ in range(2)]
     for batch in batches:
-        target = np.array(batch.column(1).fill_null(False).to_pylist(), bool)
-        for lo, hi, data, offsets in slices(batch.column(0)):
-            w = Words(data, offsets)
-            chosen = target[lo:hi][w.doc]
-            for t, values in enumerate(ids_of(w)):
+        for lo in range(0, batch.num_rows, 512):
+            texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(0).slice(lo, 512)]
+            target = np.array(batch.column(1).slice(lo, 512).to_pylist(), bool)
+            sizes = np.array([len(x) for x in texts])
+            chosen = np.repeat(target, sizes)
+            for t, values in enumerate(with_context(np.concatenate(texts), np.cumsum(sizes) - sizes)):
                 counts[0][t] += np.bincount(values[chosen], minlength=_tables(t)[1])
                 counts[1][t] += np.bincount(values, minlength=_tables(t)[1])
     rows: list[tuple[int, int, int, bytes, bytes]] = []
@@ -67,7 +85,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 piece = counts[model][t][part * size : (part + 1) * size]
                 at = np.flatnonzero(piece)
                 if len(at):
-                    rows.append((model, t, part, at.astype(np.uint16).tobytes(), piece[at].astype(np.int64).tobytes()))
+                    rows.append((model, t, part, at.astype(np.uint16).tobytes(), piece[at].astype(np.uint32).tobytes()))
     names = ["model", "tab", "part", "places", "counts"]
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
@@ -80,7 +98,7 @@ def _sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
     total = np.zeros(size, np.int64)
     for batch in batches:
         for at, n in zip(batch.column(3), batch.column(4), strict=True):
-            total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.int64)
+            total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
     yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([t], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["model", "tab", "part", "counts"])
 
 
@@ -102,9 +120,15 @@ class Model:
         return -np.log(p)
 
 
-def train(docs: DataFrame, text_col: str, target_col: str) -> list[Model]:
-    """The target and the background model; the tables have a fixed size (``VOCAB``, ``CELLS``), so they may be collected."""
-    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(target_col).cast("boolean").alias("target"))
+def train(docs: DataFrame, targets: DataFrame) -> list[Model]:
+    """The target and the background model from ``docs (doc_id, text)``; the tables have a fixed size (``VOCAB``, ``CELLS``), so they may be collected.
+
+    The join is by sorting at every size, as the targets may be a large part of
+    the documents.
+    """
+    coded = docs.mapInArrow(_encode, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
+    chosen = targets.select(F.col("doc_id").alias("_sw_id")).distinct().hint("merge")
+    rows = coded.join(chosen, F.col("doc_id") == F.col("_sw_id"), "left").select("ids", F.col("_sw_id").isNotNull().alias("target"))
     parts = rows.mapInArrow(_count, "model int, tab int, part int, places binary, counts binary")
     summed = parts.groupBy("model", "tab", "part").applyInArrow(_sum, "model int, tab int, part int, counts binary")
     tables = [[np.zeros(-(-_tables(t)[1] // PARTS) * PARTS, np.int64) for t in range(3)] for _ in range(2)]
@@ -140,7 +164,5 @@ def score_documents(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id",
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    chosen = targets.select(F.col("doc_id").alias("_sw_id")).distinct()
-    marked = rows.join(chosen, F.col("doc_id") == F.col("_sw_id"), "left").select("text", F.col("_sw_id").isNotNull().alias("target"))
-    shared = spark.sparkContext.broadcast(train(marked, "text", "target"))
+    shared = spark.sparkContext.broadcast(train(rows, targets))
     return rows.mapInArrow(_scorer(shared), f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
