@@ -28,8 +28,8 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, candidates: DataFrame |
     """``query_id, chunk_id, score``: inner products of ``queries.embedding`` and ``chunks.embedding``.
 
     With ``candidates``, only those pairs; chunks without an embedding have no
-    score.  Without them the query batch meets every chunk: the batch is the
-    side that is held, in blocks if it is not small (see ``vector_top_k``).
+    score.  Without them the query batch meets every chunk and is broadcast, so
+    it must be small: ``vector_top_k`` parts it into blocks.
     """
     own = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", F.col("embedding").alias("_chunk"))
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("_query"))
@@ -41,13 +41,12 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, candidates: DataFrame |
 
 
 def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """The ``k`` nearest chunks of every query, exactly, in blocks of ``block`` queries."""
-    n = queries.count()
-    blocks = max(1, -(-n // block))
-    if blocks == 1:
-        return ranked(vector_scores(queries, chunks), k)
+    """The ``k`` nearest chunks of every query, exactly, in blocks of about ``block`` queries; scores equal to nine places tie."""
+    blocks = max(1, -(-queries.count() // block))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, (ranked(vector_scores(queries.where(number == i), chunks), k) for i in range(blocks)))
+    parts = [queries.where(number == i) if blocks > 1 else queries for i in range(blocks)]
+    tops = (ranked(vector_scores(part, chunks).withColumn("_by", F.round("score", 9)), k, by="_by").drop("_by") for part in parts)
+    return reduce(DataFrame.unionByName, tops)
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score", tie: str = "chunk_id") -> DataFrame:

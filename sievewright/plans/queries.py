@@ -177,7 +177,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 @query(_VECTORS + " SELECT query_id, chunk_id, round(score, 5) AS score, rank FROM vec WHERE rank <= 30")
 def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, rows = vectors(spark, sf_dir)
-    return ranked_stably(fusion.vector_scores(asked, rows), 30).withColumn("score", F.round("score", 5))
+    return fusion.vector_top_k(asked, rows, 30).withColumn("score", F.round("score", 5))
 
 
 @query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS size, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS self
@@ -191,8 +191,8 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Fusion
 
 _FUSED = _VECTORS + """,
-lexical AS (  -- a second signal: nearness of the first coordinates
-  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, 1 - abs(q.embedding[1]::DOUBLE - v.embedding[1]::DOUBLE) AS score
+lexical AS (  -- a second signal: the product of the first eight coordinates
+  SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, list_dot_product(q.embedding[1:8]::DOUBLE[], v.embedding[1:8]::DOUBLE[]) AS score
   FROM embeddings q CROSS JOIN embeddings v WHERE q.vec_id % 100 = 0),
 lexr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM lexical),
 cand AS (SELECT query_id, chunk_id FROM vec WHERE rank <= 30 UNION SELECT query_id, chunk_id FROM lexr WHERE rank <= 30),
@@ -203,14 +203,13 @@ filled AS (
 
 
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates of two signals with both raw scores."""
+    """Candidates of two signals, whole vectors and their first eight coordinates, with both raw scores."""
     asked, rows = vectors(spark, sf_dir)
-    vector = cut(fusion.vector_scores(asked, rows))
-    first = lambda df: F.element_at(df["embedding"], 1).cast("double")
-    second = rows.crossJoin(F.broadcast(asked.select("query_id", first(asked).alias("x")))).select("query_id", "chunk_id", (1 - F.abs(F.col("x") - first(rows))).alias("score"))
-    second = cut(second)
-    hits = {"lexical": ranked_stably(second, 30), "vector": ranked_stably(vector, 30)}
-    return fusion.backfilled(fusion.union_candidates(hits), {"lexical": second, "vector": vector})
+    short = lambda df: df.withColumn("embedding", F.slice("embedding", 1, 8))
+    hits = {"lexical": fusion.vector_top_k(short(asked), short(rows), 30), "vector": fusion.vector_top_k(asked, rows, 30)}
+    candidates = cut(fusion.union_candidates(hits))
+    fills = {"lexical": fusion.vector_scores(short(asked), short(rows), candidates), "vector": fusion.vector_scores(asked, rows, candidates)}
+    return fusion.backfilled(candidates, fills)
 
 
 @query(_FUSED + """,
@@ -313,13 +312,14 @@ def strongest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH names AS (SELECT p_partkey AS id, lower(p_name) AS name, string_split(lower(p_name), ' ') AS w FROM part),
+WITH names AS (SELECT min(p_partkey) AS id, lower(p_name) AS name, string_split(lower(p_name), ' ') AS w FROM part GROUP BY lower(p_name)),
 keys AS (SELECT id, name, unnest(list_distinct(w)) AS key FROM names),
 useful AS (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND 200),
 pairs AS (SELECT DISTINCT a.id AS a, b.id AS b, a.name AS na, b.name AS nb FROM keys a JOIN keys b ON a.key = b.key AND a.id < b.id WHERE a.key IN (SELECT key FROM useful))
 SELECT a, b, round(jaro_winkler_similarity(na, nb), 5) AS similarity FROM pairs""")
 def blocked_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower("p_name").alias("name"))
+    """Groups of equal names that share a word, with their similarity."""
+    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name")
     keys = names.select("id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("key"))
     useful = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 200").select("key")
     kept = keys.join(useful, "key")
@@ -409,7 +409,7 @@ FROM per JOIN sizes USING (query_id)""")
 def rank_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, rows = vectors(spark, sf_dir)
     relevant = asked.select("query_id", "label").join(rows.select("chunk_id", "label"), "label").select("query_id", "chunk_id")
-    results = ranked_stably(fusion.vector_scores(asked, rows), 10)
+    results = fusion.vector_top_k(asked, rows, 10)
     out = evaluation.rank_metrics(asked, results, relevant)
     return out.select("query_id", "n_relevant", *(F.round(c, 6).alias(c) for c in ("rr", "recall_5", "recall_10")), "hit_1", F.round("ndcg", 6).alias("ndcg"))
 
