@@ -17,9 +17,11 @@ Classes are the connected components of verified links between different texts
 (equal texts are one node from the start).  Pairs are not expanded within a
 bucket: every member is tested against one leader, and a pair whose texts are
 in one class already needs no test.  Buckets that hold several classes after
-that are worked off without a cap: small ones by all their open pairs, large
-ones by rounds of ``LEADERS`` members against all others, until each open pair
-was tested.
+that are worked off without a cap, in blocks of ``MAX_BLOCK`` texts: their
+common shingles are counted for all pairs at once, and pairs of different
+classes whose counts allow the similarity are aligned.  Before the first tests,
+pairs are left out whose counts of shingles by ``CELLS`` cells of the hash rule
+it out; both bounds are exact, so they cost no link.
 
 Defined results: a null text counts as empty; texts of fewer than five words
 have one shingle of all their words; texts without words are in a class with
@@ -44,8 +46,11 @@ from sievewright.llm._words import Words, mix, shingles, slices
 K = 5
 MIN_SIMILARITY = 0.8
 ELL, ROWS, BANDS = 2, 2, 20
-#: Buckets of up to so many texts are worked off by all open pairs; larger ones by so many leaders a round.
-SMALL, LEADERS = 32, 64
+#: Texts of a bucket that are compared all at once; larger buckets are dealt into blocks that meet in pairs.
+MAX_BLOCK = 800
+#: Shingles whose occurrences are multiplied at once.
+COLUMNS = 4096
+CELLS = 64
 _PLACE = np.uint64((1 << 28) - 1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -114,7 +119,10 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes = np.where(n > 0, BANDS, 0)
             flat = pa.array(bands[n > 0].reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), lists], ["id", "key", "n", "bands"])
+            doc = np.repeat(np.arange(hi - lo), n)
+            cells = np.bincount(doc * CELLS + (mix(grams) >> np.uint64(58)).astype(np.int64), minlength=(hi - lo) * CELLS).astype(np.int32)
+            counts = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * CELLS, pa.int32()), pa.array(cells))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), lists, counts], ["id", "key", "n", "bands", "cells"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = MIN_SIMILARITY) -> float:
@@ -162,6 +170,65 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array([x for x in found if x >= MIN_SIMILARITY], pa.float64())], ["a", "b", "similarity"])
 
 
+def possible_pairs(grams: list[np.ndarray]) -> np.ndarray:
+    """Pairs of texts whose common shingles allow the similarity, from the product of the occurrence matrix with itself."""
+    m, sizes = len(grams), np.array([len(g) for g in grams])
+    _, column, count = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    text, shared = np.repeat(np.arange(m), sizes), count[column] > 1
+    column, text = (np.cumsum(count > 1) - 1)[column[shared]], text[shared]
+    order = np.argsort(column)
+    column, text = column[order], text[order]
+    common = np.zeros((m, m), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (lo, lo + COLUMNS)))
+        occurs = np.zeros((m, COLUMNS), np.float32)
+        occurs[text[part], column[part] - lo] = 1
+        common += occurs @ occurs.T
+    return np.argwhere(np.triu(common >= MIN_SIMILARITY * (sizes[:, None] + sizes[None, :] - common) - 1e-3, 1))
+
+
+def links_within(nodes: list[int], comps: list[int], grams: list[np.ndarray]) -> list[tuple[int, int, float]]:
+    """Verified pairs that join the classes ``comps`` of one block; pairs whose texts are in one class by then are not needed."""
+    root: dict[int, int] = {c: c for c in comps}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    found = []
+    for i, j in possible_pairs(grams).tolist():
+        a, b = find(comps[i]), find(comps[j])
+        if a != b and (similarity := aligned(grams[i], grams[j])) >= MIN_SIMILARITY:
+            root[a] = b
+            found.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), similarity))
+    return found
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks come one after the other, perhaps over several batches."""
+    key, rows = None, ([], [], [])
+
+    def out(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.float64())
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], ["a", "b", "similarity"])
+
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 256):
+            part = batch.slice(lo, 256)
+            keys = zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)
+            for own, *row in zip(keys, part.column(3).to_pylist(), part.column(4).to_pylist(), _sequences(part.column(5)), strict=True):
+                if own != key:
+                    if len(rows[0]) > 1:
+                        yield out(links_within(*rows))
+                    key, rows = own, ([], [], [])
+                for held, x in zip(rows, row, strict=True):
+                    held.append(x)
+    if len(rows[0]) > 1:
+        yield out(links_within(*rows))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``edges (a, b)``: the smallest-neighbour contraction.
 
@@ -196,13 +263,20 @@ def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (node, comp)`` with the components that ``links (a, b)`` join made one."""
+    of_a, of_b = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
+    moved = components(links.join(of_a, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("comp", "_to")
+    return labels.join(moved, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+
+
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Members ``id, key, class_id, n_links, kept_row`` (one row per document), and the links ``a, b, similarity`` between texts."""
+    """Members ``id, key, class_id, kept_text, rep`` (one row per document), and the links ``a, b, similarity`` that make the classes."""
     own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(own.alias("id"), F.coalesce(text, F.lit("")).alias("text"), text_key(text).alias("key"))
-    signed = stored(rows.mapInArrow(_sign, f"id {kind}, key string, n long, bands array<long>"), "signed")
-    nodes = signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    signed = stored(rows.mapInArrow(_sign, f"id {kind}, key string, n long, bands array<long>, cells array<int>"), "signed")
+    nodes = signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("cells").alias("cells"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
@@ -211,50 +285,48 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     buckets = stored(buckets.select("band", "h", "m", F.col("first")["node"].alias("leader"), F.col("first")["n"].alias("leader_n")), "buckets")
     members = stored(banded.join(buckets, ["band", "h"]), "members")
 
-    alike = lambda a, b: F.least(a, b) >= MIN_SIMILARITY * F.greatest(a, b)  # noqa: E731  else no alignment reaches the similarity
+    # Without either, no alignment reaches the similarity: like lengths, and room in the cells for enough matches.
+    alike = lambda a, b: F.least(a, b) >= MIN_SIMILARITY * F.greatest(a, b)
+    matches = F.aggregate(F.zip_with("cells", "xcells", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
+    room = matches >= MIN_SIMILARITY / (1 + MIN_SIMILARITY) * (F.col("n") + F.col("xn")) - 1e-6
     pairs = members.where((F.col("node") != F.col("leader")) & alike(F.col("n"), F.col("leader_n")))
-    pairs = stored(pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
+    pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    cells = nodes.select("node", "n", "cells")
+    pairs = pairs.join(cells.toDF("a", "n", "cells"), "a").join(cells.toDF("b", "xn", "xcells"), "b").where(room).select("a", "b")
+    tested = stored(pairs, "pairs")
 
-    # Texts of all nodes that share a bucket, once.
+    # Texts of all nodes that share a bucket, once; equal texts lie together by their key.
     shared = stored(members.select("node").distinct().join(nodes.select("node", "key"), "node"), "shared")
-    texts = stored(rows.select("key", "text").join(shared, "key").groupBy("node").agg(F.first("text").alias("text")), "texts")
-
-    links = stored(_linked(pairs, texts), "links")
-    labels = components(links)
-    tested = pairs
-    open_rows = members.select("band", "h", "node", "n")
-    number = 0
-    while True:
-        with_comp = open_rows.join(labels, "node", "left").select("band", "h", "node", "n", F.coalesce("comp", "node").alias("comp"))
-        mixed = with_comp.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi").select("band", "h", "m")
-        mixed = stored(mixed, "mixed")
-        if mixed.isEmpty():
-            break
-        todo = stored(with_comp.join(mixed, ["band", "h"]), "open")
-        leads = (F.col("m") <= SMALL) | (F.pmod(F.xxhash64("node", F.lit(number)), F.col("m")) < LEADERS)
-        left = todo.where(leads).select("band", "h", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("comp").alias("xc"))
-        cross = todo.join(left, ["band", "h"]).where((F.col("comp") != F.col("xc")) & alike(F.col("n"), F.col("xn")))
-        fresh = cross.select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        fresh = stored(fresh, "pairs")
-        if not fresh.isEmpty():
-            links = links.unionAll(stored(_linked(fresh, texts), "links"))
-            labels = components(links)
-            tested = tested.unionAll(fresh)
-        open_rows = todo.where(~leads).select("band", "h", "node", "n")
-        number += 1
-
-    degree = links.select(F.col("a").alias("node")).unionAll(links.select(F.col("b").alias("node"))).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
-    named = nodes.select("node", "key", "rep").join(labels, "node", "left").join(degree, "node", "left").select("key", "rep", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    texts = stored(rows.select("key", "text").join(shared, "key").groupBy("key", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
+
+    links = stored(_linked(tested, texts), "links")
+    labels = stored(_merged(shared.select("node", F.col("node").alias("comp")), links), "labels")
+    # Buckets that still hold several classes: all their pairs, in blocks.
+    with_comp = members.select("band", "h", "node").join(labels, "node")
+    mixed = with_comp.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
+    halves = F.when(F.col("m") <= MAX_BLOCK, 1).otherwise(F.ceil(F.col("m") * 2 / MAX_BLOCK)).cast("int")
+    mixed = stored(mixed.select("band", "h", halves.alias("halves")), "mixed")
+    if not mixed.isEmpty():
+        left = with_comp.join(mixed, ["band", "h"]).withColumn("half", F.pmod(F.xxhash64("node"), F.col("halves")).cast("int"))
+        dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("halves") - 1))).where("halves = 1 or half <> other")
+        block = F.when(F.col("halves") == 1, 0).otherwise(F.least("half", "other") * F.col("halves") + F.greatest("half", "other"))
+        dealt = dealt.select("band", "h", block.alias("block"), "node", "comp").join(texts, "node")
+        dealt = dealt.repartition("band", "h", "block").sortWithinPartitions("band", "h", "block")
+        more = stored(dealt.select("band", "h", "block", "node", "comp", "text").mapInArrow(_blocks, "a long, b long, similarity double"), "links")
+        links = links.unionAll(more)
+        labels = stored(_merged(labels, more), "labels")
+
+    named = nodes.select("node", "key", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("comp", "node").alias("comp"))
     names = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("key")))["key"].alias("kept_key"))
-    classes = stored(named.join(names, "comp").select("key", "class_id", "n_links", F.col("key") == F.col("kept_key"), F.col("rep")).toDF("key", "class_id", "n_links", "kept_text", "rep"), "classes")
+    classes = stored(named.join(names, "comp").select("key", "class_id", F.col("key") == F.col("kept_key"), "rep").toDF("key", "class_id", "kept_text", "rep"), "classes")
     return signed.select("id", "key").join(classes, "key"), links
 
 
 def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, class_id, n_links`` (of its text to different texts) and ``kept``."""
+    """One row per document: ``doc_id, class_id`` and ``kept`` (one row of each class)."""
     members, _ = near_classes(docs, id_col, text_col)
     kept = F.col("kept_text") & F.col("id").eqNullSafe(F.col("rep"))
-    return members.select(F.col("id").alias("doc_id"), "class_id", "n_links", kept.alias("kept"))
+    return members.select(F.col("id").alias("doc_id"), "class_id", kept.alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

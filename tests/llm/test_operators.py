@@ -258,7 +258,8 @@ def test_keep_one(spark, docs):
 
 def test_large_bucket_of_false_candidates_is_worked_off(spark, monkeypatch):
     """Chains of near copies, where few are like the leader: every link must be found."""
-    monkeypatch.setattr(minhash, "LEADERS", 1)
+    monkeypatch.setattr(minhash, "MAX_BLOCK", 6)
+    monkeypatch.setattr(minhash, "COLUMNS", 16)
     rows, text = [], prose(5, 120)
     for i in range(25):
         rows.append((i, " ".join(text)))
