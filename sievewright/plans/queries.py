@@ -288,6 +288,26 @@ def graph_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.where("kind = 'expanded'").select("query_id", "entity_id", F.round("weight", 6).alias("weight"), "via")
 
 
+@query(_EDGES + """,
+direct AS (SELECT s_suppkey AS query_id, 's' || s_suppkey AS ent FROM supplier),
+hop AS (SELECT query_id, dst AS ent, weight * 0.6 AS w FROM direct JOIN edges ON src = ent),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(w, 9) DESC, ent) AS nth FROM hop WHERE w > 0),
+plan AS (SELECT query_id, ent, 1.0 AS d, 0.0 AS x FROM direct UNION ALL SELECT query_id, ent, 0.0, w FROM ranked WHERE nth <= 15),
+held AS (SELECT l_orderkey AS chunk_id, 's' || l_suppkey AS ent FROM lineitem UNION SELECT l_orderkey, 'p' || l_partkey FROM lineitem)
+SELECT query_id, chunk_id, round(1 - (1 - least(1, sum(d))) * (1 - max(x)), 6) AS score, count(*) AS matched FROM plan JOIN held USING (ent) GROUP BY query_id, chunk_id""")
+def entity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every supplier as a query; orders as chunks that hold their suppliers and parts."""
+    entities, rows = supply(spark, sf_dir)
+    asked = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.lit("").alias("query"))
+    links = asked.select("query_id", F.concat(F.lit("s"), "query_id").alias("entity_id"), F.lit(1.0).alias("confidence"))
+    edge_table = graph.edges(rows, entities).withColumn("weight", F.round("weight", 12))
+    plan = cut(graph.plan(asked, links, edge_table, entities, EntityRetrieval()))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("chunk_id"), F.concat(F.lit("s"), "l_suppkey").alias("s"), F.concat(F.lit("p"), "l_partkey").alias("p"))
+    held = lines.select("chunk_id", F.explode(F.array("s", "p")).alias("entity_id")).distinct()
+    out = graph.entity_scores(plan, held, entities)
+    return out.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.size("matched_entities").cast("long").alias("matched"))
+
+
 @query("""
 WITH e AS (SELECT DISTINCT 2 * l_suppkey AS a, 2 * l_partkey + 1 AS b FROM lineitem WHERE l_discount = 0.1 AND l_tax = 0.08 AND l_quantity > 45),
 n AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
