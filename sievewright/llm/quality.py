@@ -116,6 +116,12 @@ def from_text(text: Column) -> Callable[[str], Column]:
     return lambda name: _FROM_TEXT[name](text)
 
 
+def from_words(tokens: Column, text: Column) -> Callable[[str], Column]:
+    """As ``from_text``, where the words are at hand."""
+    of_words = {"n_words": lambda: F.size(tokens).cast("long"), "word_chars": lambda: F.length(F.array_join(tokens, "")).cast("long"), "n_repeat_words": lambda: repeated(tokens)}
+    return lambda name: of_words[name]() if name in of_words else _FROM_TEXT[name](text)
+
+
 def passes(order: Sequence[Rule], measure: Callable[[str], Column]) -> Column:
     """True if no rule rejects; rules after the first that rejects are not evaluated."""
     verdict = None
@@ -160,4 +166,5 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_good(docs: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES) -> DataFrame:
     """``docs`` without the rows that a rule rejects, with all their columns."""
     order = [rule for rule, _, _ in plan_cascade(docs, rules, text_col)]
-    return docs.where(passes(order, from_text(F.col(f"`{text_col}`").cast("string"))))
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.where(let(words(text), lambda w: passes(order, from_words(w, text))))
