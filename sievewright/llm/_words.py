@@ -79,7 +79,14 @@ class Words:
         self.doc = np.repeat(np.arange(len(offsets) - 1), np.diff(self.first))
 
 
-_POWERS: dict[int, np.ndarray] = {}
+class _Held(dict):
+    """A cache that is empty again wherever it is sent."""
+
+    def __reduce__(self):
+        return _Held, ()
+
+
+_POWERS: dict[int, np.ndarray] = _Held()
 
 
 def powers(base: np.uint64, n: int) -> np.ndarray:
