@@ -1,15 +1,16 @@
 """Cross-entropy difference of matched n-gram models.
 
 Two interpolated bigram models, one of target text and one of the background
-(all documents), share one vocabulary: words hashed to ``VOCAB`` ids, and pairs
-of ids hashed to ``CELLS`` cells.  They have the same order, smoothing and
-tables, so that their losses differ by the text they saw alone.  A document's
-score is the mean over its words of target loss less background loss; the lower,
-the more like the target.
+(all documents), share one vocabulary.  They have the same order and smoothing,
+so that their losses differ by the text they saw alone.  A document's score is
+the mean over its words of target loss less background loss; the lower, the
+more like the target.
 
-The tables have a fixed size.  Every task counts its own documents into them,
-and parts of equal place are summed; what is gathered grows with the number of
-tasks, that is, with the corpus.
+Words, contexts and pairs of words are told apart by keys of 64 bits.  Their
+counts are a distributed table that grows with the corpus, cut into buckets by
+key: documents are bound into groups of about ``GROUP`` words, each group sends
+each of its distinct keys once to the key's bucket, with its counts, and gets
+the corpus counts back.  A frequent pair thus is one record a group.
 
 Defined results: a null text counts as empty; a document without words has null
 losses and score; with an empty target the target model is the uniform one;
@@ -22,136 +23,144 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._words import Words, slices
+from sievewright.llm._common import stored
+from sievewright.llm._words import Words, mix, slices
 
+#: The uniform estimate is over so many words, or as many as the documents have if these are more.
 VOCAB = 1 << 16
-CELLS = 1 << 19
 #: Weights of the bigram and the unigram estimate; the rest is uniform.
 BIGRAM, UNIGRAM = 0.6, 0.35
-#: Parts into which a task's tables are cut for the exchange.
-PARTS = 64
-
-
-def vocabulary_ids(w: Words) -> np.ndarray:
-    return (w.hash >> np.uint64(48)).astype(np.uint16)
+#: Words (or rows) of a group of documents; words of the corpus to a bucket of keys, and least number of buckets.
+GROUP = 1 << 20
+BUCKET, BUCKETS = 1 << 20, 64
+#: The last two bits of a key tell words, contexts and pairs apart.
+_KIND = np.uint64(3)
+_START = np.uint64(0x9E3779B97F4A7C14)
+_P = np.uint64(0xD6E8FEB86659FD93)
 
 
 def with_context(own: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, the ids before them (``VOCAB`` at the start of a text), and cells of the pairs; texts begin at ``first``."""
-    own = own.astype(np.int64)
-    before = np.concatenate((np.full(1, VOCAB), own[:-1])) if len(own) else own
-    before[first[first < len(own)]] = VOCAB
-    pair = (before.astype(np.uint64) * np.uint64(VOCAB + 1) + own.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-    return own, before, (pair >> np.uint64(45)).astype(np.int64) & (CELLS - 1)
+    """Keys of the words, of the contexts before them (the start of a text is one), and of the pairs; texts begin at ``first``."""
+    own = own & ~_KIND
+    before = np.concatenate((np.full(1, _START), own[:-1])) if len(own) else own.copy()
+    before[first[first < len(own)]] = _START
+    return own, before | np.uint64(1), mix(before * _P + mix(own)) & ~_KIND | np.uint64(2)
 
 
 def ids_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return with_context(vocabulary_ids(w), w.first[:-1])
-
-
-def _tables(which: int) -> tuple[str, int]:
-    return (("unigram", VOCAB), ("context", VOCAB + 1), ("bigram", CELLS))[which]
-
-
-def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two bytes a word: what goes through the join with the targets instead of the text."""
+    return with_context(w.hash, w.first[:-1])
+
+
+def _bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups of documents: their words as places in a list of the group's distinct words."""
+    task, n = TaskContext.get().partitionId() << 32, 0
+    ids: list[pa.Array] = []
+    hashes: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
+    targets: list[np.ndarray] = []
+
+    def bound() -> pa.RecordBatch:
+        every, size, target = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(targets)
+        words, place = np.unique(every, return_inverse=True)
+        rows = pa.concat_arrays(ids)
+        blobs = (size.astype(np.int64), target, words, place.astype(np.uint32))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([task + n], pa.int64()), pa.array([len(every)], pa.int64()), pa.array([int(size[target].sum())], pa.int64()),
+                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), *(pa.array([x.tobytes()], pa.binary()) for x in blobs),
+            ],
+            ["group", "n", "n_target", "ids", "sizes", "targets", "words", "places"],
+        )
+
+    held = 0
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column(1)):
             w = Words(data, offsets)
-            ids = vocabulary_ids(w)
-            blobs = [ids[a:b].tobytes() for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(blobs, pa.binary())], ["doc_id", "ids"])
+            ids.append(batch.column(0).slice(lo, hi - lo))
+            hashes.append(w.hash)
+            sizes.append(np.diff(w.first))
+            targets.append(np.array(batch.column(2).slice(lo, hi - lo).to_pylist(), bool))
+            held += max(len(w.hash), hi - lo)
+            if held >= GROUP:
+                yield bound()
+                n, held = n + 1, 0
+                for x in (ids, hashes, sizes, targets):
+                    x.clear()
+    if ids:
+        yield bound()
+
+
+class Group:
+    """A group's documents, its distinct keys in the order of their buckets, and where each bucket begins; ``place`` is the key of each word, context and pair."""
+
+    def __init__(self, sizes: bytes, targets: bytes, words: bytes, places: bytes, buckets: int):
+        self.sizes, self.targets = np.frombuffer(sizes, np.int64), np.frombuffer(targets, bool)
+        own = np.frombuffer(words, np.uint64)[np.frombuffer(places, np.uint32)]
+        keys, place = np.unique(np.concatenate(with_context(own, np.cumsum(self.sizes) - self.sizes)), return_inverse=True)
+        bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rank = np.empty(len(keys), np.int64)
+        rank[order] = np.arange(len(keys))
+        self.keys, self.place = keys[order], rank[place]
+        self.bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """How often each key is in the target documents and in all."""
+        chosen = np.tile(np.repeat(self.targets, self.sizes), 3)
+        return tuple(np.bincount(p, minlength=len(self.keys)).astype(np.uint32) for p in (self.place[chosen], self.place))
+
+
+def _sender(buckets: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, *blobs in zip(*batch.columns, strict=True):
+                g = Group(*(x.as_py() for x in blobs), buckets)
+                at = [b for b in range(buckets) if g.bounds[b] < g.bounds[b + 1]]
+                cut = [pa.array([x[g.bounds[b] : g.bounds[b + 1]].tobytes() for b in at], pa.binary()) for x in (g.keys, *g.counts())]
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([name.as_py()] * len(at), pa.int64()), *cut], ["bucket", "group", "keys", "target", "every"])
 
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = [[np.zeros(_tables(t)[1], np.int64) for t in range(3)] for _ in range(2)]
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 512):
-            texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in batch.column(0).slice(lo, 512)]
-            target = np.array(batch.column(1).slice(lo, 512).to_pylist(), bool)
-            sizes = np.array([len(x) for x in texts])
-            chosen = np.repeat(target, sizes)
-            for t, values in enumerate(with_context(np.concatenate(texts), np.cumsum(sizes) - sizes)):
-                counts[0][t] += np.bincount(values[chosen], minlength=_tables(t)[1])
-                counts[1][t] += np.bincount(values, minlength=_tables(t)[1])
-    rows: list[tuple[int, int, int, bytes, bytes]] = []
-    for model in range(2):
-        for t in range(3):
-            size = -(-_tables(t)[1] // PARTS)
-            for part in range(PARTS):
-                piece = counts[model][t][part * size : (part + 1) * size]
-                at = np.flatnonzero(piece)
-                if len(at):
-                    rows.append((model, t, part, at.astype(np.uint16).tobytes(), piece[at].astype(np.uint32).tobytes()))
-    names = ["model", "tab", "part", "places", "counts"]
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names)
+    return send
 
 
 def _sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums the parts of one place, a batch at a time; the state has a fixed size."""
-    model, t, part = (x.as_py() for x in key)
-    size = -(-_tables(t)[1] // PARTS)
-    total = np.zeros(size, np.int64)
+    """The corpus counts of a bucket's keys, for each group in the order of its keys; ``n_words`` of the first row has the bucket's distinct words."""
+    names, blobs = [], [[], [], []]
     for batch in batches:
-        for at, n in zip(batch.column(3), batch.column(4), strict=True):
-            total[np.frombuffer(at.as_py(), np.uint16)] += np.frombuffer(n.as_py(), np.uint32)
-    yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([t], pa.int32()), pa.array([part], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["model", "tab", "part", "counts"])
-
-
-class Model:
-    """Interpolated bigram model over hashed words."""
-
-    def __init__(self, unigram: np.ndarray, context: np.ndarray, bigram: np.ndarray):
-        total = unigram.sum()
-        self.low = (UNIGRAM * (unigram / total if total else np.full(VOCAB, 1 / VOCAB)) + (1 - BIGRAM - UNIGRAM) / VOCAB).astype(np.float32)
-        self.context = np.maximum(context, 1).astype(np.float32)
-        self.unseen = context == 0
-        self.bigram = bigram.astype(np.float32)
-
-    def losses(self, own: np.ndarray, before: np.ndarray, cell: np.ndarray) -> np.ndarray:
-        """Loss in nats of every word; after a context never seen the bigram's weight goes to the others."""
-        low = self.low[own].astype(np.float64)
-        unseen = self.unseen[before]
-        p = np.where(unseen, low / (1 - BIGRAM), low + BIGRAM * np.minimum(1.0, self.bigram[cell] / self.context[before]))
-        return -np.log(p)
-
-
-def train(docs: DataFrame, targets: DataFrame) -> list[Model]:
-    """The target and the background model from ``docs (doc_id, text)``; the tables have a fixed size (``VOCAB``, ``CELLS``), so they may be collected.
-
-    The join is by sorting at every size, as the targets may be a large part of
-    the documents.
-    """
-    coded = docs.mapInArrow(_encode, f"doc_id {dict(docs.dtypes)['doc_id']}, ids binary")
-    chosen = targets.select(F.col("doc_id").alias("_sw_id")).distinct().hint("merge")
-    rows = coded.join(chosen, F.col("doc_id") == F.col("_sw_id"), "left").select("ids", F.col("_sw_id").isNotNull().alias("target"))
-    parts = rows.mapInArrow(_count, "model int, tab int, part int, places binary, counts binary")
-    summed = parts.groupBy("model", "tab", "part").applyInArrow(_sum, "model int, tab int, part int, counts binary")
-    tables = [[np.zeros(-(-_tables(t)[1] // PARTS) * PARTS, np.int64) for t in range(3)] for _ in range(2)]
-    for r in summed.toLocalIterator():
-        piece = np.frombuffer(r["counts"], np.int64)
-        tables[r["model"]][r["tab"]][r["part"] * len(piece) : (r["part"] + 1) * len(piece)] = piece
-    return [Model(*(tables[m][t][: _tables(t)[1]] for t in range(3))) for m in range(2)]
-
-
-def _scorer(shared):
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column(1)):
-                w = Words(data, offsets)
-                n = np.diff(w.first)
-                ids = ids_of(w)
-                means = [np.bincount(w.doc, m.losses(*ids), minlength=hi - lo) / np.maximum(n, 1) for m in models]
-                none = n == 0
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(means[0], mask=none), pa.array(means[1], mask=none), pa.array(means[0] - means[1], mask=none)],
-                    ["doc_id", "n_words", "target_loss", "background_loss", "score"],
-                )
+        names += batch.column(1).to_pylist()
+        for i, (kind, column) in enumerate(zip((np.uint64, np.uint32, np.uint32), batch.columns[2:], strict=True)):
+            blobs[i] += [np.frombuffer(x.as_py(), kind) for x in column]
+    ends = np.cumsum([len(x) for x in blobs[0]])[:-1]
+    keys, place = np.unique(np.concatenate(blobs[0]), return_inverse=True)
+    sums = [np.bincount(place, np.concatenate(x), len(keys)).astype(np.int64)[place] for x in blobs[1:]]
+    n_words = [int((keys & _KIND == 0).sum())] + [0] * (len(names) - 1)
+    back = [pa.array([x.tobytes() for x in np.split(s, ends)], pa.binary()) for s in sums]
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(n_words, pa.int64()), *back], ["bucket", "group", "n_words", "target", "every"])
+
+
+def losses(own: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+    """Loss in nats of every word from the counts of it, its context and their pair; after a context never seen the bigram's weight goes to the others."""
+    low = UNIGRAM * (own / total if total else np.full(len(own), 1 / vocabulary)) + (1 - BIGRAM - UNIGRAM) / vocabulary
+    return -np.log(np.where(context == 0, low / (1 - BIGRAM), low + BIGRAM * pair / np.maximum(context, 1)))
+
+
+def _scorer(buckets: int, totals: tuple[int, int], vocabulary: int):
+    def score(bound: pa.Table, answers: pa.Table) -> pa.Table:
+        g = Group(*(bound.column(c)[0].as_py() for c in ("sizes", "targets", "words", "places")), buckets)
+        n = len(g.sizes)
+        doc = np.repeat(np.arange(n), g.sizes)
+        means = []
+        for name, total in zip(("target", "every"), totals, strict=True):
+            counts = np.zeros(len(g.keys), np.int64)
+            for b, x in zip(answers.column("bucket").to_pylist(), answers.column(name), strict=True):
+                counts[g.bounds[b] : g.bounds[b + 1]] = np.frombuffer(x.as_py(), np.int64)
+            means.append(np.bincount(doc, losses(*np.split(counts[g.place], 3), total, vocabulary), n) / np.maximum(g.sizes, 1))
+        none = g.sizes == 0
+        columns = [bound.column("ids")[0].values, pa.array(g.sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_words", "target_loss", "background_loss", "score"])
 
     return score
 
@@ -160,9 +169,20 @@ def score_documents(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id",
     """One row per document: ``doc_id, n_words, target_loss, background_loss, score``.
 
     ``targets`` has the ids (column ``doc_id``) of the target documents; the
-    background is all of ``docs``.
+    background is all of ``docs``.  The join is by sorting at every size, as the
+    targets may be a large part of the documents.
     """
-    spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
+    kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    shared = spark.sparkContext.broadcast(train(rows, targets))
-    return rows.mapInArrow(_scorer(shared), f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")
+    chosen = targets.select(F.col("doc_id").alias("_sw_id")).distinct().hint("merge")
+    marked = rows.join(chosen, F.col("doc_id") == F.col("_sw_id"), "left").select("doc_id", "text", F.col("_sw_id").isNotNull().alias("target"))
+    schema = f"group long, n long, n_target long, ids array<{kind}>, sizes binary, targets binary, words binary, places binary"
+    bound = stored(marked.mapInArrow(_bind, schema), "lm-groups")
+    n, n_target = (x or 0 for x in bound.agg(F.sum("n"), F.sum("n_target")).first())
+    buckets = max(BUCKETS, n // BUCKET)
+    sent = bound.select("group", "sizes", "targets", "words", "places").mapInArrow(_sender(buckets), "bucket int, group long, keys binary, target binary, every binary")
+    counted = sent.groupBy("bucket").applyInArrow(_sum, "bucket int, group long, n_words long, target binary, every binary")
+    counted = stored(counted, "lm-counts")
+    vocabulary = max(VOCAB, counted.agg(F.sum("n_words")).first()[0] or 0)
+    both = bound.groupBy("group").cogroup(counted.groupBy("group"))
+    return both.applyInArrow(_scorer(buckets, (n_target, n), vocabulary), f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

@@ -436,6 +436,30 @@ def test_lm_score(spark, docs):
                 assert out[i][name] == pytest.approx(sum(loss) / len(loss), rel=1e-4)
 
 
+def test_lm_counts_grow_with_the_corpus(spark, monkeypatch):
+    """More words and pairs than any fixed table had: every count is exact, across many groups and buckets."""
+    from math import log
+
+    monkeypatch.setattr(lm_score, "GROUP", 20_000)
+    texts = [" ".join(f"w{(i * 7919 + j * j) % 90_000}" for j in range(2000)) for i in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r for r in lm_score.score_documents(frame, spark.range(20).withColumnRenamed("id", "doc_id")).collect()}
+    size = max(lm_score.VOCAB, len({w for t in texts for w in t.split()}))
+    for name, chosen in (("target_loss", texts[:20]), ("background_loss", texts)):
+        uni, ctx, bi = Counter(), Counter(), Counter()
+        for t in chosen:
+            w = t.split()
+            uni.update(w)
+            ctx.update([None, *w[:-1]])
+            bi.update(zip([None, *w[:-1]], w, strict=True))
+        n = sum(uni.values())
+        for i in (0, 30, 59):
+            w = texts[i].split()
+            low = [0.35 * uni[o] / n + 0.05 / size for o in w]
+            loss = [-log(x + 0.6 * bi[b, o] / ctx[b] if ctx[b] else x / 0.4) for x, b, o in zip(low, [None, *w[:-1]], w, strict=True)]
+            assert out[i][name] == pytest.approx(sum(loss) / len(loss), rel=1e-9)
+
+
 # HTML extraction
 
 
