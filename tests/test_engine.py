@@ -236,3 +236,31 @@ def test_pairwise_metric(spark):
 
 def test_settings_are_the_defaults():
     assert Resolution().auto_merge == 0.85 and Settings().retrieval.candidate_pool == 30
+
+
+def test_components_over_all_lines(spark):
+    """The registered query takes every line of the table; brute force over all of them."""
+    from sievewright.plans.queries import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_partkey").collect()
+    comp = {}
+
+    def find(x):
+        while comp.setdefault(x, x) != x:
+            x = comp[x]
+        return x
+
+    for s, p in lines:
+        low, high = sorted((find(2 * s), find(2 * p + 1)))
+        comp[high] = low
+    out = {r["node"]: r["comp"] for r in QUERIES["components_whole"](spark, sf).collect()}
+    assert out == {x: find(x) for x in list(comp)}
+
+
+def test_components_of_a_hub_and_a_chain(spark):
+    from sievewright.operators.graph import connected_components
+
+    edges = [(0, i) for i in range(1, 300)] + [(1000 + i, 1001 + i) for i in range(5)] + [(1003, 299), (5000, 5001), (5001, 5000)]
+    out = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert out == {x: 5000 if x >= 5000 else 0 for e in edges for x in e}
