@@ -484,6 +484,21 @@ def test_html(spark):
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def pages_of(spark, htmls):
+    rows = [(i, "http://one.example/%d" % i, h) for i, h in enumerate(htmls)]
+    return {r["page_id"]: r["text"] for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_template_within_marks(spark):
+    """A host's repeated line goes within <article> too, and a story in <main> beats teasers in <article>."""
+    story = lambda i: " ".join(prose(i + 70, 60))
+    out = pages_of(spark, [f"<body><article><div>Read us daily</div><p>{story(i)}</p></article></body>" for i in range(6)])
+    assert out == {i: story(i) for i in range(6)}
+    teasers = "".join(f"<div><article><p>Teaser {i} word</p></article></div>" for i in range(2))
+    out = pages_of(spark, [f"<body><main><div><p>{story(i)}</p></div></main>{teasers}</body>" for i in range(6)])
+    assert out == {i: story(i) for i in range(6)}
+
+
 def test_tree_matching():
     a = html_extract.frame_of(html_extract.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))[0]
     b = html_extract.frame_of(html_extract.parse("<div><ul><li>y</li></ul><p>3</p><table><tr><td>z</table></div>"))[0]
