@@ -499,6 +499,13 @@ def test_html_template_within_marks(spark):
     assert out == {i: story(i) for i in range(6)}
 
 
+def test_html_keeps_sections_beside_the_largest(spark):
+    """A lead beside the body and a smaller section in its own <div> stay."""
+    lead, body, more = (lambda i, k=k, n=n: " ".join(prose(i + k, n)) for k, n in ((100, 8), (200, 90), (300, 20)))
+    page = lambda i: f"<body><div><div>Our site</div><h1>{lead(i)}</h1><div><div><p>{body(i)}</p><h2>{i}</h2></div></div><div><p>{more(i)}</p></div></div></body>"
+    assert pages_of(spark, [page(i) for i in range(7)]) == {i: f"{lead(i)}\n\n{body(i)}\n\n{i}\n\n{more(i)}" for i in range(7)}
+
+
 def test_tree_matching():
     a = html_extract.frame_of(html_extract.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))[0]
     b = html_extract.frame_of(html_extract.parse("<div><ul><li>y</li></ul><p>3</p><table><tr><td>z</table></div>"))[0]
