@@ -506,6 +506,17 @@ def test_html_keeps_sections_beside_the_largest(spark):
     assert pages_of(spark, [page(i) for i in range(7)]) == {i: f"{lead(i)}\n\n{body(i)}\n\n{i}\n\n{more(i)}" for i in range(7)}
 
 
+def test_html_near_copies_have_no_votes(spark):
+    """Copies of one article that differ in a counter do not make its paragraphs template."""
+    text, title = " ".join(prose(400, 80)), " ".join(prose(401, 8))
+    page = lambda i, t, h: f"<body><div>Our site</div><div><h1>{h}</h1><p>{t}</p><h2>Seen {i} times</h2></div></body>"
+    copies = [page(i, text, title) for i in range(40)]
+    others = [page(i, " ".join(prose(500 + i, 80)), f"Title {i}") for i in range(40, 46)]
+    out = pages_of(spark, copies + others)
+    assert all(out[i].endswith(f"{title}\n\n{text}\n\nSeen {i} times") for i in range(40))
+    assert all(out[i].endswith(" ".join(prose(500 + i, 80)) + f"\n\nSeen {i} times") for i in range(40, 46))
+
+
 def test_tree_matching():
     a = html_extract.frame_of(html_extract.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))[0]
     b = html_extract.frame_of(html_extract.parse("<div><ul><li>y</li></ul><p>3</p><table><tr><td>z</table></div>"))[0]
