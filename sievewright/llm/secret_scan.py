@@ -2,17 +2,19 @@
 
 A token is a run of 20 or more characters of ``[A-Za-z0-9+/_-]`` (with ``=`` at
 its end) that has both a letter and a digit.  Its encoding is inferred from its
-alphabet (hex, base32, base64).  Three tests per token:
+alphabet (hex, base32, base36, base62, base64).  Three looks at a token:
 
-* chi-squared: the characters may be uniform over the encoding's alphabet;
-* serial correlation: neighbouring characters may be independent;
+* the characters: uniform over the encoding's alphabet, or as in words;
+* neighbours: vowels and consonants take turns in words;
 * runs: changes between classes of characters are too many for an identifier,
   in which a class changes with probability ``STICKY``.
 
-The runs test gives a p-value against ordinary identifiers; the other two are
-gates that a random token passes.  Tokens are declared by the Benjamini-Hochberg
-rule at rate ``FDR`` within each class of lengths, from a histogram of p-values
-over all documents (a fixed number of bins, however many tokens).
+Together they are the likelihood of the token as random over that of an ordinary
+identifier; an ordinary one exceeds t with a probability of at most 1 / t, which
+is the p-value.  ``battery`` has the tests one by one.  Tokens are declared by
+the Benjamini-Hochberg rule at rate ``FDR`` within each class of lengths, from a
+histogram of p-values over all documents (a fixed number of bins, however many
+tokens).
 
 Defined results: a null text counts as empty; a document without spans has the
 hash of the empty string; repeated rows are scanned each on its own; an empty
@@ -41,7 +43,10 @@ MIN_ASSIGNED = 6
 
 FDR = 0.001
 STICKY = 0.15
-GATE = 0.001
+#: Frequencies of letters in words, the share of letters that come from no word, and how often a vowel follows a vowel, a consonant and neither.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1), strict=True))
+STRAY = 0.1
+VOWELS, VOWEL_AFTER = "aeiou", (0.2, 0.5, 0.385)
 #: Bins a decade of the histogram of p-values, and decades; lengths from which a class begins.
 BINS, DECADES = 20, 30
 LENGTHS = (20, 24, 32, 48, 64, 128)
@@ -76,6 +81,9 @@ def encoding(token: str) -> tuple[str, str]:
         return "hex", "0123456789ABCDEF"
     if re.fullmatch(r"[A-Z2-7]+", token):
         return "base32", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    for name, found, letters in (("base36", r"[0-9a-z]+", "abcdefghijklmnopqrstuvwxyz"), ("base36", r"[0-9A-Z]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("base62", r"[0-9A-Za-z]+", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")):
+        if re.fullmatch(found, token):
+            return name, letters + "0123456789"
     ends = "-_" if "-" in token or "_" in token else "+/"
     return "base64", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + ends
 
@@ -105,6 +113,43 @@ def battery(token: str) -> tuple[float, float, float]:
     return _upper_chi2(chi, m - 1), 2 * _upper_normal(serial), _upper_binomial(max(0, len(classes) - 1), changes, STICKY)
 
 
+def _letter_logs() -> dict[tuple[str, int], float]:
+    """Log-likelihood of a letter in a word after a vowel (0), a consonant (1) or neither (2)."""
+    out = {}
+    for c, n in LETTERS.items():
+        vowel = c in VOWELS
+        share = n / sum(m for x, m in LETTERS.items() if (x in VOWELS) == vowel)
+        for after, p in enumerate(VOWEL_AFTER):
+            out[c, after] = math.log((1 - STRAY) * share * (p if vowel else 1 - p) + STRAY / 26)
+    return out
+
+
+_LETTER_LOGS = _letter_logs()
+#: Encodings among which the likelihood as random is shared out: hex and base36 in two cases each, base32, base62, base64.
+ENCODINGS = 7
+
+
+def combined(token: str) -> float:
+    """P-value of the token as an ordinary identifier, by its characters, their neighbours and its runs."""
+    body = [c for c in token if c.isalnum()]  # separators are no evidence
+    name, alphabet = encoding(token.rstrip("="))
+    size = 62 if name == "base64" else len(alphabet)
+    log = -len(body) * math.log(size) - math.log(ENCODINGS)
+    cls, after = -1, 2
+    for c in body:
+        own = _char_class(c)
+        log -= math.log(1 / 3 if cls < 0 else 1 - STICKY if own == cls else STICKY / 2)
+        cls = own
+        if own == 0:
+            log += math.log(10)
+            after = 2
+        else:
+            low = c.lower()
+            log -= _LETTER_LOGS[low, after]
+            after = 0 if low in VOWELS else 1
+    return math.exp(-max(0.0, min(log, 700.0)))
+
+
 def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS)
 
@@ -132,7 +177,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     token, mixed = re.compile(TOKEN), re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])")
     names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "base", "tokens"]
     kinds = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-    others = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("bin", pa.int32()), ("gated", pa.bool_())]))
+    others = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("class", pa.int32()), ("bin", pa.int32())]))
     for batch in batches:
         counts, digests, bases, tokens = [], [], [], []
         for value in batch.column(1):
@@ -144,8 +189,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for m in token.finditer(text):
                 if mixed.match(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-                    chi, serial, runs = battery(m[0])
-                    found.append({"start": m.start(), "end": m.end(), "class": length_class(len(m[0])), "bin": p_bin(runs), "gated": chi >= GATE and serial >= GATE})
+                    found.append({"start": m.start(), "end": m.end(), "class": length_class(len(m[0])), "bin": p_bin(combined(m[0]))})
             tokens.append(found)
         columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(bases, kinds), pa.array(tokens, others)], names)
@@ -168,7 +212,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per document: counts of base spans, ``base_sha256``, ``spans`` and ``n_random``."""
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, tokens array<struct<start: long, end: long, class: int, bin: int, gated: boolean>>"
+    schema = f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, base array<struct<start: long, kind: int, end: long>>, tokens array<struct<start: long, end: long, class: int, bin: int>>"
     scanned = stored(rows.mapInArrow(_scan, schema), "secret-scan")
     histogram = scanned.select(F.inline("tokens")).groupBy("class", "bin").count()  # at most len(LENGTHS) * BINS * DECADES rows
     limits = declared_bins([(r["class"], r["bin"], r["count"]) for r in histogram.collect()])
@@ -177,7 +221,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = F.lit(False)
         for cls, least in limits.items():
             out = out | ((t["class"] == cls) & (t["bin"] >= least))
-        return out & t["gated"]
+        return out
 
     extra = F.transform(F.filter("tokens", is_declared), lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     every = F.array_sort(F.concat("base", extra))

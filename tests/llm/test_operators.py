@@ -366,6 +366,25 @@ def test_randomness_tests_tell_secrets_from_names():
     assert secret_scan.declared_bins([(1, 120, 50), (1, 5, 50)]) == {1: 120}
 
 
+def test_secrets_of_every_alphabet_are_declared(spark):
+    """Random tokens of base32, base36, base62 and base64 of many lengths; identifiers are left alone."""
+    import random
+
+    r, digits, low, up = random.Random(5), string.digits, string.ascii_lowercase, string.ascii_uppercase
+    tokens = []
+    for alphabet in (up + "234567", low + digits, up + digits, low + up + digits, low + up + digits + "+/"):
+        for n in (32, 40, 48, 64, 100):
+            for _ in range(20):
+                t = "".join(r.choices(alphabet, k=n))
+                if not re.search("[0-9a-f]{24,}|AKIA", t) and re.search("[0-9]", t) and re.search("[A-Za-z]", t):
+                    tokens.append(t)
+    vocabulary = "user account release candidate final variable name number service handler request index window order customer local machine".split()
+    names = [r.choice("_-").join([*r.choices(vocabulary, k=5), str(r.randrange(3000))]) for _ in range(300)]
+    out = secret_scan.scan_secrets(spark.createDataFrame(list(enumerate(tokens + names)), "doc_id long, text string")).collect()
+    found = {x["doc_id"] for x in out if x["n_random"]}
+    assert len([i for i in found if i < len(tokens)]) >= 0.99 * len(tokens) and not [i for i in found if i >= len(tokens)]
+
+
 # Suffix-array dedup
 
 
