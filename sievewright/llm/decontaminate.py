@@ -1,14 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
-Every window of a document that is as long as a benchmark item, and holds at
-least one shingle of the items of that length, gets a 64-bit SimHash of its weighted
-shingles.  The items' fingerprints lie in a multi-index: with ``RADIUS`` + 1
-blocks of bits, two fingerprints within the radius agree in a whole block, so
-the index returns all of them.  Candidates are verified by the exact weighted
-Jaccard similarity of their shingles, at least ``MIN_SIMILARITY``.
+Every window of a document that is as long as a benchmark item, and holds
+shingles of the item of at least ``MIN_SIMILARITY`` of the item's weight, is a
+candidate.  Candidates are taken by the Hamming distance of their 64-bit SimHash
+from the item's, and verified by the exact weighted Jaccard similarity of their
+shingles, at least ``MIN_SIMILARITY``.
 
-A window without a shingle of an item has similarity 0 with it; leaving its
-fingerprint out loses nothing.
+The shared weight is at most the weight of the window's shingles that the item
+has, and the united weight at least the item's; so a window that is no candidate
+has a lower similarity, and the choice of candidates loses nothing.  The
+distance decides the order alone.
 
 The benchmark is a stated query set: it goes to the executors in blocks of at
 most ``BLOCK_BYTES`` of text, one pass over the documents for each.
@@ -33,7 +34,6 @@ from sievewright.llm._words import Words, mix, shingles, slices, words_of
 
 K = 5
 MIN_SIMILARITY = 0.8
-RADIUS = 15
 BLOCK_BYTES = 8 << 20
 #: Windows that are fingerprinted together.
 CHUNK = 4096
@@ -41,9 +41,9 @@ _BITS = np.arange(64, dtype=np.uint64)
 
 
 class Items:
-    """Benchmark items of one length, with their fingerprints in a multi-index.
+    """Benchmark items of one length, with their fingerprints and the items of every shingle.
 
-    ``weights`` tells the weight of every shingle of the block; whole numbers,
+    ``weights`` tells the weight of every shingle of the benchmark; whole numbers,
     so that sums are exact in any order.
     """
 
@@ -52,28 +52,19 @@ class Items:
         self.ids = [i for i, _ in items]
         self.bags = [bag(s, weights.of(s)) for _, s in items]
         self.prints = np.array([simhash(s, weights.of(s)) for _, s in items], np.uint64)
-        bounds = np.linspace(0, 64, RADIUS + 2).round().astype(np.uint64)
-        self.blocks = []
-        for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
-            mask = (np.uint64(1) << (hi - lo)) - np.uint64(1)
-            values = (self.prints >> lo) & mask
-            order = np.argsort(values, kind="stable")
-            self.blocks.append((lo, mask, values[order], order))
-
-    def near(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Prints, items and distances of all pairs within the radius, by way of the blocks."""
-        found = []
-        for lo, mask, values, order in self.blocks:
-            own = (prints >> lo) & mask
-            first, last = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
-            n = last - first
-            place = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
-            found.append(np.repeat(np.arange(len(own)), n) * len(self.ids) + order[place])
-        pairs = np.unique(np.concatenate(found))
-        which, item = np.divmod(pairs, len(self.ids))
-        distance = np.bitwise_count(prints[which] ^ self.prints[item])
-        close = distance <= RADIUS
-        return which[close], item[close], distance[close]
+        self.least = np.array([MIN_SIMILARITY * weights.of(s).sum() for _, s in items])
+        own = [np.unique(s) for _, s in items]
+        grams, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.owner = grams[order], owner[order]
+
+    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places among ``grams`` and items that have the shingle there, in the order of the items."""
+        first, last = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        n = last - first
+        item = self.owner[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+        order = np.argsort(item, kind="stable")
+        return np.repeat(np.arange(len(grams)), n)[order], item[order]
 
 
 class Weights:
@@ -96,11 +87,13 @@ class Weights:
 
 
 class Block:
-    """Items of a bounded amount of text with as many words to a shingle: ``groups`` by length, and which groups a shingle leads to."""
+    """Items of a bounded amount of text with as many words to a shingle: ``groups`` by length, and which groups a shingle leads to.
+
+    ``weights`` are those of the whole benchmark.
+    """
 
-    def __init__(self, k: int, items: list[tuple[int, np.ndarray, int]]):
-        self.k = k
-        self.weights = Weights([s for _, s, _ in items])
+    def __init__(self, k: int, items: list[tuple[int, np.ndarray, int]], weights: Weights):
+        self.k, self.weights = k, weights
         self.groups = [Items(k, n, [(i, s) for i, s, m in items if m == n], self.weights) for n in sorted({n for *_, n in items})]
         number = {g.size: j for j, g in enumerate(self.groups)}
         self.leads = np.zeros((len(self.weights.known), len(self.groups)), bool)
@@ -140,15 +133,15 @@ def item_blocks(benchmark: list[tuple[int, str]]) -> list[list[Block]]:
             parts.append([])
             size = len(text or "")
         parts[-1].append((item_id, text))
-    out = []
+    split: list[dict[int, list[tuple[int, np.ndarray, int]]]] = []
     for part in parts:
-        by_k: dict[int, list[tuple[int, np.ndarray, int]]] = {}
+        split.append(by_k := {})
         for item_id, text in part:
             w = words_of(text)
             if n := len(w.hash):
                 by_k.setdefault(min(K, n), []).append((item_id, shingles(w, min(K, n))[1], n))
-        out.append([Block(k, items) for k, items in sorted(by_k.items())])
-    return out
+    weights = {k: Weights([s for by_k in split for _, s, _ in by_k.get(k, [])]) for k in sorted({k for by_k in split for k in by_k})}
+    return [[Block(k, items, weights[k]) for k, items in sorted(by_k.items())] for by_k in split]
 
 
 def windows_near(items: Items, grams: np.ndarray, hits: np.ndarray) -> list[tuple[int, int, int, float, int]]:
@@ -165,25 +158,29 @@ def windows_near(items: Items, grams: np.ndarray, hits: np.ndarray) -> list[tupl
         weights = items.weights.of(own)
         sums = np.zeros((len(own) + 1, 64), np.int64)
         np.cumsum(_signs(own, weights), axis=0, out=sums[1:])
-        known = np.zeros(len(own) + 1, np.int64)
-        known[run - lo + 1] = 1
-        known = np.cumsum(known)
         start = np.arange(max(1, len(own) - size + 1))
         end = np.minimum(start + size, len(own))
-        some = known[end] > known[start]
-        start, end = start[some], end[some]
         best: dict[int, tuple[float, int, int, int]] = {}
-        for at in range(0, len(start), CHUNK):
-            s, e = start[at : at + CHUNK], end[at : at + CHUNK]
-            prints = (((sums[e] - sums[s]) > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64)
-            which, item, distance = items.near(prints)
+        place, item = items.shared(own[run - lo])
+        cuts = np.flatnonzero(np.diff(item)) + 1
+        for at in np.split(run[place] - lo, cuts) if len(item) else []:
+            i = int(item[0])
+            item = item[len(at) :]
+            if weights[at].sum() < items.least[i]:
+                continue
+            held = np.zeros(len(own) + 1, np.int64)
+            held[at + 1] = weights[at]
+            held = np.cumsum(held)
+            some = np.flatnonzero(held[end] - held[start] >= items.least[i])
+            prints = np.concatenate([(((sums[end[c]] - sums[start[c]]) > 0).astype(np.uint64) << _BITS).sum(1, dtype=np.uint64) for c in np.split(some, range(CHUNK, len(some), CHUNK))])
+            distance = np.bitwise_count(prints ^ items.prints[i])
             for j in np.argsort(distance, kind="stable").tolist():
-                i, a, b = int(item[j]), int(s[which[j]]), int(e[which[j]])
-                if i in best and best[i][0] >= 1.0:
-                    continue
+                a, b = int(start[some[j]]), int(end[some[j]])
                 sim = similarity(bag(own[a:b], weights[a:b]), items.bags[i])
                 if sim >= MIN_SIMILARITY and (i not in best or sim > best[i][0]):
                     best[i] = (sim, lo + a, b - a, int(distance[j]))
+                if i in best and best[i][0] >= 1.0:
+                    break
         found += [(items.ids[i], s, m, sim, distance) for i, (sim, s, m, distance) in best.items()]
     return found
 

@@ -313,6 +313,19 @@ def test_decontamination_by_brute_force(spark, table):
 # License scan
 
 
+def test_decontamination_loses_no_pair_at_the_bound(spark, monkeypatch):
+    """Items with one word changed, similarity 0.8 to 0.81, all found; and weights do not depend on the blocks."""
+    items = [(i, " ".join(f"x{i}q{j}" for j in range(50))) for i in range(600)]
+    changed = [(i, " ".join("changed" if j == 10 + i % 30 else w for j, w in enumerate(t.split()))) for i, t in items]
+    bench, docs = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(changed, "doc_id long, text string")
+    found = sorted(map(tuple, decontaminate.find_leaks(docs, bench).collect()))
+    assert [(r[0], r[1]) for r in found] == [(i, i) for i in range(600)]
+    whole = decontaminate.item_blocks(items + [(1000, items[0][1])])[0][0].weights
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 1000)
+    parted = decontaminate.item_blocks(items + [(1000, items[0][1])])
+    assert len(parted) > 100 and all((b.weights.known == whole.known).all() and (b.weights.weight == whole.weight).all() for blocks in parted for b in blocks)
+
+
 def test_licenses(docs, table):
     for frame in (docs, table):
         expected = []
