@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from sievewright.config import EntityRetrieval
 from sievewright.functions import names as nm
 from sievewright.functions.lexicons import TYPE_HINTS
-from sievewright.sources.storage import cut
+from sievewright.sources.shared import stored
 
 MAX_EDGE = 0.95
 
@@ -17,22 +17,35 @@ MAX_EDGE = 0.95
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``edges (a, b)``; ``comp`` is the component's smallest node.
 
-    Every round each node moves to its smallest neighbour and the edges follow;
-    lineage is cut each round.
+    Nodes are numbered at random (by a bijection of 64-bit numbers).  Every round
+    each node moves to the smallest of its neighbours and from there to that
+    node's, and the edges follow.  As the order is random, a fixed share of the
+    nodes goes each round whatever the shape, long chains included: the rounds
+    grow with the logarithm of the size.  A node's neighbours are summed up by
+    partial aggregation, so a hub costs no task more than its share.
     """
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
-    labels = edges.select(F.col("a").alias("node"), F.col("a").alias("comp")).limit(0)
-    first = True
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        parent = cut(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")))
-        if first:
-            labels, first = parent.select(F.col("u").alias("node"), F.col("p").alias("comp")), False
-        else:
-            labels = cut(labels.join(parent, F.col("comp") == F.col("u"), "left").select("node", F.coalesce("p", "comp").alias("comp")))
-        of_a, of_b = parent.select(F.col("u").alias("a"), F.col("p").alias("pa")), parent.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        edges = cut(edges.join(of_a, "a").join(of_b, "b").where("pa <> pb").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct())
-    return labels
+    pairs = stored(edges.select("a", "b").where("a <> b"), "edges")
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
+    if dict(pairs.dtypes)["a"] == dict(pairs.dtypes)["b"] == "bigint":
+        numbers = ends.withColumn("number", F.xxhash64("node"))
+        links = pairs.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
+    else:
+        numbers = stored(stored(ends.withColumn("i", F.monotonically_increasing_id()), "nodes").select("node", F.xxhash64("i").alias("number")), "numbers")
+        links = pairs.join(numbers.select(F.col("node").alias("a"), F.col("number").alias("na")), "a").join(numbers.select(F.col("node").alias("b"), F.col("number").alias("nb")), "b")
+        links = links.select(F.col("na").alias("a"), F.col("nb").alias("b"))
+    links = stored(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    labels = None
+    while not links.isEmpty():
+        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        step = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "steps")
+        to = stored(step.join(step.toDF("p", "q"), "p").select("u", F.col("q").alias("p")), "steps")
+        labels = to.toDF("number", "top") if labels is None else stored(labels.join(to, F.col("top") == F.col("u"), "left").select("number", F.coalesce("p", "top").alias("top")), "labels")
+        moved = links.join(to.toDF("a", "pa"), "a").join(to.toDF("b", "pb"), "b").where("pa <> pb")
+        links = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "links")
+    if labels is None:
+        return numbers.select("node", F.col("node").alias("comp"))
+    named = stored(numbers.join(labels, "number").select("node", "top"), "labels")
+    return named.join(named.groupBy("top").agg(F.min("node").alias("comp")), "top").select("node", "comp")
 
 
 def edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:

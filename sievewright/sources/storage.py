@@ -6,12 +6,13 @@ whole versions only.  Folders are reached through Spark alone.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.sources.shared import stored
+
 SCHEMAS = {
     "documents": "document_id string, filename string, source_type string, content_hash string, created_at timestamp, text string, title string, metadata map<string,string>, chunk_count int",
     "chunks": "chunk_id string, document_id string, chunk_index int, text string, search_text string, token_count int, char_start int, char_end int, metadata map<string,string>, embedding array<float>",
@@ -26,11 +27,8 @@ SCHEMAS = {
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder that ``spark.checkpoint.dir`` names."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievewright-"))
-    return df.checkpoint()
+    """``df`` with its lineage cut by a table in the shared folder."""
+    return stored(df, "cut")
 
 
 class TableStore:
