@@ -3,40 +3,20 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievewright.sources.shared import stored
+
+__all__ = ["SPACE", "SPACES", "bounded_broadcast", "column_or_null", "let", "release", "stored", "unused"]
+
 #: White space of the word definition ``[^\x20\x09-\x0D]+``.
 SPACE = " \t\n\x0b\x0c\r"
 #: The same as a regular expression that both Java and Python read.
 SPACES = r"[\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievewright-"))
-    return context.getCheckpointDir()
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a Parquet table in the shared folder and read again.
-
-    It cuts the lineage with files that outlive any executor, and gives the
-    optimizer the true size.  The table goes when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sievewright-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle files of finished jobs whose frames are out of scope."""
     gc.collect()
@@ -56,3 +36,14 @@ def let(value: Column, body) -> Column:
 def column_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """Column ``name`` as ``kind``, or null where ``df`` lacks it."""
     return (df[f"`{name}`"] if name in df.columns else F.lit(None)).cast(kind)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind it as make it no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

@@ -15,13 +15,17 @@ the main one: the band cuts nothing that counts.
 
 Classes are the connected components of verified links between different texts
 (equal texts are one node from the start).  Pairs are not expanded within a
-bucket: every member is tested against one leader, and a pair whose texts are
-in one class already needs no test.  Buckets that hold several classes after
-that are worked off without a cap, in blocks of ``MAX_BLOCK`` texts: their
-common shingles are counted for all pairs at once, and pairs of different
-classes whose counts allow the similarity are aligned.  Before the first tests,
-pairs are left out whose counts of shingles by ``CELLS`` cells of the hash rule
-it out; both bounds are exact, so they cost no link.
+bucket.  First every member is tested against the bucket's leader, the member
+with the least number; numbers are the same in all bands, so that a group of
+copies has few leaders.  Then buckets whose other members still lie in several
+classes are worked off without a cap, in blocks of at most about ``MAX_BLOCK``
+texts and ``MAX_BLOCK_WORDS`` shingles that meet in pairs.  A block first looks
+at counts of shingles by cells of their hash, which bound the matches from
+above; only texts that may have a partner there are fetched.  A pair belongs to
+the first band that both texts share, and is looked at there alone.
+
+Texts move twice, to the leaders and to the blocks, and only those of pairs
+whose cells allow the similarity; all else is numbers.
 
 Defined results: a null text counts as empty; texts of fewer than five words
 have one shingle of all their words; texts without words are in a class with
@@ -40,17 +44,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._common import stored
+from sievewright.llm._common import release, stored, unused
 from sievewright.llm._words import Words, mix, shingles, slices
+from sievewright.operators.graph import connected_components
 
 K = 5
 MIN_SIMILARITY = 0.8
 ELL, ROWS, BANDS = 2, 2, 20
 #: Texts of a bucket that are compared all at once; larger buckets are dealt into blocks that meet in pairs.
-MAX_BLOCK = 800
+MAX_BLOCK, MAX_BLOCK_WORDS = 800, 1 << 22
+#: Members that meet one copy of their leader's text.
+STAR = 2048
 #: Shingles whose occurrences are multiplied at once.
 COLUMNS = 4096
-CELLS = 64
+#: The least number of cells, as a power of two; a text has a quarter to half as many cells as shingles.
+LEAST_LEVEL = 4
+#: A count that stands for itself and all above.
+FULL = 255
 _PLACE = np.uint64((1 << 28) - 1)
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _Q = np.uint64(0xD6E8FEB86659FD93)
@@ -110,19 +120,48 @@ def order_minhash(grams: np.ndarray, begins: np.ndarray, bands: int = BANDS, row
     return out
 
 
+def cell_counts(grams: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many shingles of each text lie in each cell of the hash, up to ``FULL``, one text after the other; and where texts begin.
+
+    A text has two to the power of its level cells, the same for all texts of about its size.
+    """
+    n = np.diff(begins)
+    level = np.maximum(LEAST_LEVEL, np.log2(np.maximum(n, 1)).astype(np.int64) - 1)
+    places = np.concatenate((np.zeros(1, np.int64), np.cumsum(np.where(n > 0, 1 << level, 0))))
+    doc = np.repeat(np.arange(len(n)), n)
+    cell = (mix(grams) >> (64 - level[doc]).astype(np.uint64)).astype(np.int64)
+    return np.minimum(np.bincount(places[doc] + cell, minlength=int(places[-1])), FULL).astype(np.uint8), places
+
+
+def folded(cells: np.ndarray) -> np.ndarray:
+    """The same counts in half as many cells."""
+    return np.minimum(cells.reshape(-1, 2).sum(1, dtype=np.int64), FULL).astype(np.uint8)
+
+
+def most_matches(a: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Upper bounds of the matches of a text with others, from their counts by the same cells."""
+    low = np.minimum(a, many)
+    return low.sum(1, dtype=np.int64) + (low == FULL).sum(1) * (1 << 40)
+
+
+def least_matches(n: np.ndarray, m: int) -> np.ndarray:
+    """Matches below which two texts of so many shingles cannot reach the similarity."""
+    return MIN_SIMILARITY / (1 + MIN_SIMILARITY) * (n + m) - 1e-6
+
+
+def _binaries(flat: np.ndarray, places: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places.astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column(1)):
             grams, begins = labelled_shingles(Words(data, offsets), hi - lo)
             bands = order_minhash(grams, begins)
             n = np.diff(begins)
-            sizes = np.where(n > 0, BANDS, 0)
             flat = pa.array(bands[n > 0].reshape(-1).view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes))), pa.int32()), flat)
-            doc = np.repeat(np.arange(hi - lo), n)
-            cells = np.bincount(doc * CELLS + (mix(grams) >> np.uint64(58)).astype(np.int64), minlength=(hi - lo) * CELLS).astype(np.int32)
-            counts = pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1) * CELLS, pa.int32()), pa.array(cells))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), lists, counts], ["id", "key", "n", "bands", "cells"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate((np.zeros(1, np.int64), np.cumsum(np.where(n > 0, BANDS, 0)))), pa.int32()), flat)
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(n), lists, _binaries(*cell_counts(grams, begins))], ["id", "key", "n", "bands", "cells"])
 
 
 def aligned(a: np.ndarray, b: np.ndarray, least: float = MIN_SIMILARITY) -> float:
@@ -160,14 +199,96 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bytes(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+
+
+def _have_room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs whose lengths and cells allow the similarity; the last four columns are the counts of both sides."""
+    for batch in batches:
+        keep = []
+        sides = zip(*(batch.column(c).to_pylist() for c in ("n", "ln")), *(_bytes(batch.column(c)) for c in ("cells", "lcells")), strict=True)
+        for i, (n, m, a, b) in enumerate(sides):
+            if min(n, m) >= MIN_SIMILARITY * max(n, m):
+                while len(a) > len(b):
+                    a = folded(a)
+                while len(b) > len(a):
+                    b = folded(b)
+                if most_matches(a, b[None, :])[0] >= least_matches(n, m):
+                    keep.append(i)
+        yield batch.select(batch.schema.names[:-4]).take(pa.array(keep, pa.int64()))
+
+
+def _star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of members with their leader, whose text comes before theirs: ``leader, salt, node, text``."""
+    held, lead = None, np.zeros(0, np.uint64)
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            pairs = zip(_sequences(part.column(2)), _sequences(part.column(3)), strict=True)
-            found = [aligned(a, b) for a, b in pairs]
-            keep = pa.array([i for i, x in enumerate(found) if x >= MIN_SIMILARITY], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column(0).take(keep), part.column(1).take(keep), pa.array([x for x in found if x >= MIN_SIMILARITY], pa.float64())], ["a", "b", "similarity"])
+            found = []
+            for leader, node, grams in zip(part.column(0).to_pylist(), part.column(2).to_pylist(), _sequences(part.column(3)), strict=True):
+                if leader == node:
+                    held, lead = leader, grams
+                elif leader == held and (similarity := aligned(lead, grams)) >= MIN_SIMILARITY:
+                    found.append((min(leader, node), max(leader, node), similarity))
+            yield _link_batch(found)
+
+
+def _link_batch(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["a", "b", "similarity"])
+
+
+def with_partners(h: int, n: np.ndarray, comps: np.ndarray, bands: np.ndarray, cells: list[np.ndarray]) -> np.ndarray:
+    """Which texts of a block have a possible partner in another class, in a pair that belongs to this bucket."""
+    out = np.zeros(len(n), bool)
+    size = np.array([len(c) for c in cells])
+    for width in np.unique(size).tolist():
+        own, wider = np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)
+        rows = np.concatenate((own, wider))
+        table = np.array([cells[i] if size[i] == width else folded(cells[i]) for i in rows.tolist()])
+        for at, i in enumerate(own.tolist()):
+            later = np.arange(len(rows)) > at
+            ok = later & (comps[rows] != comps[i]) & (np.minimum(n[rows], n[i]) >= MIN_SIMILARITY * np.maximum(n[rows], n[i]))
+            some = np.flatnonzero(ok)
+            some = some[most_matches(table[at], table[some]) >= least_matches(n[rows[some]], n[i])]
+            if len(some):
+                equal = bands[rows[some]] == bands[i]
+                some = some[bands[i][np.argmax(equal, axis=1)] == h]  # the first band that both share
+                out[rows[some]] = True
+                out[i] |= len(some) > 0
+    return out
+
+
+def _runs(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """The rows of each run of equal values in the first ``n_keys`` columns."""
+    held: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(i).to_pylist() for i in range(n_keys)), strict=True))
+        lo = 0
+        for hi in range(1, len(keys) + 1):
+            if hi == len(keys) or keys[hi] != keys[lo]:
+                if held and keys[lo] != key:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                key = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+                lo = hi
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _partners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of blocks, without those that have no possible partner; the last three columns are left out."""
+    for block in _runs(batches, 2):
+        block = block.combine_chunks()
+        if block.num_rows > 1:
+            bands = block.column("bands").combine_chunks()
+            found = with_partners(
+                block.column("h")[0].as_py(), block.column("n").to_numpy(), block.column("comp").to_numpy(), np.asarray(bands.values if bands.offset == 0 else bands.flatten()).reshape(-1, BANDS), _bytes(block.column("cells").combine_chunks())
+            )
+            if found.any():
+                yield from block.select(block.column_names[:-3]).filter(pa.array(found)).to_batches()
 
 
 def possible_pairs(grams: list[np.ndarray]) -> np.ndarray:
@@ -207,123 +328,100 @@ def links_within(nodes: list[int], comps: list[int], grams: list[np.ndarray]) ->
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks come one after the other, perhaps over several batches."""
-    key, rows = None, ([], [], [])
-
-    def out(found: list[tuple[int, int, float]]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.float64())
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], kind) for i, kind in enumerate(kinds)], ["a", "b", "similarity"])
-
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 256):
-            part = batch.slice(lo, 256)
-            keys = zip(*(part.column(i).to_pylist() for i in range(3)), strict=True)
-            for own, *row in zip(keys, part.column(3).to_pylist(), part.column(4).to_pylist(), _sequences(part.column(5)), strict=True):
-                if own != key:
-                    if len(rows[0]) > 1:
-                        yield out(links_within(*rows))
-                    key, rows = own, ([], [], [])
-                for held, x in zip(rows, row, strict=True):
-                    held.append(x)
-    if len(rows[0]) > 1:
-        yield out(links_within(*rows))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """``node, comp`` for every node of ``edges (a, b)``: the smallest-neighbour contraction.
-
-    In each round every node moves to its smallest neighbour and edges follow;
-    rounds end when no edge is left.  Parents are summed up by partial
-    aggregation, so a node with very many neighbours costs no task more than
-    its own share.
-    """
-    edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionAll(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        parent = stored(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "parents")
-        if labels is None:
-            labels = parent.select(F.col("u").alias("node"), F.col("p").alias("comp"))
-        else:
-            labels = stored(labels.join(parent, F.col("comp") == F.col("u"), "left").select("node", F.coalesce("p", "comp").alias("comp")), "labels")
-        pa_, pb = parent.select(F.col("u").alias("a"), F.col("p").alias("pa")), parent.select(F.col("u").alias("b"), F.col("p").alias("pb"))
-        moved = edges.join(pa_, "a").join(pb, "b").where("pa <> pb")
-        edges = stored(moved.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).distinct(), "edges")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")) if labels is None else labels
+    """Links of blocks: ``h, block, node, comp, text``."""
+    for block in _runs(batches, 2):
+        nodes, comps, grams = [], [], []
+        for part in block.select(["node", "comp", "text"]).to_batches():
+            nodes += part.column(0).to_pylist()
+            comps += part.column(1).to_pylist()
+            grams += _sequences(part.column(2))
+        first = list({n: i for i, n in reversed(list(enumerate(nodes)))}.values())  # repeated rows of a text
+        if len(first) > 1:
+            yield _link_batch(links_within([nodes[i] for i in first], [comps[i] for i in first], [grams[i] for i in first]))
 
 
 def text_key(text: Column) -> Column:
-    return F.md5(F.coalesce(text, F.lit("")))
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
-def _linked(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Verified pairs ``a, b, similarity``."""
-    with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    with_b = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return with_b.select("a", "b", "text_a", "text_b").mapInArrow(_verify, "a long, b long, similarity double")
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels (node, comp)`` with the components that ``links (a, b)`` join made one; nodes that had no label get one."""
+    of_a, of_b = labels.toDF("a", "ca"), labels.toDF("b", "cb")
+    joined = links.join(of_a.hint("merge"), "a", "left").join(of_b.hint("merge"), "b", "left")
+    moved = stored(connected_components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))), "moved").toDF("comp", "_to")
+    old = labels.join(moved.hint("merge"), "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+    fresh = moved.join(labels.select(F.col("node").alias("comp")).hint("merge"), "comp", "left_anti")
+    return old.unionAll(fresh.select(F.col("comp").alias("node"), F.col("_to").alias("comp")))
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """``labels (node, comp)`` with the components that ``links (a, b)`` join made one."""
-    of_a, of_b = labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), labels.select(F.col("node").alias("b"), F.col("comp").alias("cb"))
-    moved = components(links.join(of_a, "a").join(of_b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b"))).toDF("comp", "_to")
-    return labels.join(moved, "comp", "left").select("node", F.coalesce("_to", "comp").alias("comp"))
+def _with_text(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """``wanted (key, rep, ...)`` with the text of the row that has this key and id.
+
+    Copies of a text have different ids, so they do not meet in one task; the
+    texts are dealt out once and not sorted.
+    """
+    return rows.join(wanted.hint("shuffle_hash"), (F.col("key") == F.col("_key")) & F.col("id").eqNullSafe(F.col("rep")))
 
 
 def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Members ``id, key, class_id, kept_text, rep`` (one row per document), and the links ``a, b, similarity`` that make the classes."""
+    spark = docs.sparkSession
     own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")
     kind = dict(docs.dtypes)[id_col]
     rows = docs.select(own.alias("id"), F.coalesce(text, F.lit("")).alias("text"), text_key(text).alias("key"))
-    signed = stored(rows.mapInArrow(_sign, f"id {kind}, key string, n long, bands array<long>, cells array<int>"), "signed")
-    nodes = signed.groupBy("key").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("cells").alias("cells"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-
-    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "h"))
-    place = F.struct(F.xxhash64("node", "band").alias("order"), F.col("node"), F.col("n"))
-    buckets = banded.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.min(place).alias("first")).where("m > 1")
-    buckets = stored(buckets.select("band", "h", "m", F.col("first")["node"].alias("leader"), F.col("first")["n"].alias("leader_n")), "buckets")
-    members = stored(banded.join(buckets, ["band", "h"]), "members")
-
-    # Without either, no alignment reaches the similarity: like lengths, and room in the cells for enough matches.
-    alike = lambda a, b: F.least(a, b) >= MIN_SIMILARITY * F.greatest(a, b)
-    matches = F.aggregate(F.zip_with("cells", "xcells", lambda x, y: F.least(x, y)), F.lit(0), lambda total, x: total + x)
-    room = matches >= MIN_SIMILARITY / (1 + MIN_SIMILARITY) * (F.col("n") + F.col("xn")) - 1e-6
-    pairs = members.where((F.col("node") != F.col("leader")) & alike(F.col("n"), F.col("leader_n")))
-    pairs = pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-    cells = nodes.select("node", "n", "cells")
-    pairs = pairs.join(cells.toDF("a", "n", "cells"), "a").join(cells.toDF("b", "xn", "xcells"), "b").where(room).select("a", "b")
-    tested = stored(pairs, "pairs")
-
-    # Texts of all nodes that share a bucket, once; equal texts lie together by their key.
-    shared = stored(members.select("node").distinct().join(nodes.select("node", "key"), "node"), "shared")
-    texts = stored(rows.select("key", "text").join(shared, "key").groupBy("key", "node").agg(F.first("text").alias("text")).select("node", "text"), "texts")
-
-    links = stored(_linked(tested, texts), "links")
-    labels = stored(_merged(shared.select("node", F.col("node").alias("comp")), links), "labels")
-    # Buckets that still hold several classes: all their pairs, in blocks.
-    with_comp = members.select("band", "h", "node").join(labels, "node")
-    mixed = with_comp.groupBy("band", "h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).where("lo <> hi")
-    halves = F.when(F.col("m") <= MAX_BLOCK, 1).otherwise(F.ceil(F.col("m") * 2 / MAX_BLOCK)).cast("int")
-    mixed = stored(mixed.select("band", "h", halves.alias("halves")), "mixed")
+    signed = stored(rows.mapInArrow(_sign, f"id {kind}, key binary, n long, bands array<long>, cells binary"), "signed")
+    nodes = signed.groupBy("key").agg(F.min("id").alias("rep"), *(F.first(c).alias(c) for c in ("n", "bands", "cells")))
+    nodes = stored(nodes.withColumn("i", F.monotonically_increasing_id()), "nodes").withColumn("node", F.xxhash64("i")).drop("i")
+
+    # Band hashes have the band in them, and so tell buckets apart alone.
+    banded = nodes.select("node", "n", F.explode("bands").alias("h"))
+    buckets = stored(banded.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("node").alias("leader")).where("m > 1").select("h", "leader"), "buckets")
+    members = stored(banded.join(buckets.hint("merge"), "h").where("node <> leader"), "members")
+
+    # Stars: every member with its leader, unless lengths or cells rule the pair out.
+    side = lambda prefix: nodes.select(F.col("node").alias("leader" if prefix else "node"), *(F.col(c).alias(prefix + c) for c in ("key", "rep", "n", "cells"))).hint("merge")
+    pairs = members.select("node", "leader").distinct().join(side(""), "node").join(side("l"), "leader").select("node", "leader", "key", "rep", "lkey", "lrep", "n", "ln", "cells", "lcells")
+    tested = stored(pairs.mapInArrow(_have_room, f"node long, leader long, key binary, rep {kind}, lkey binary, lrep {kind}"), "pairs")
+    stars = stored(tested.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("salts"), F.first("lkey").alias("lkey"), F.first("lrep").alias("lrep")), "stars")
+    rays = tested.join(stars.select("leader", "salts").hint("merge"), "leader").select("leader", F.pmod("node", F.col("salts")).cast("int").alias("salt"), "node", "key", "rep")
+    leads = stars.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("leader").alias("node"), "lkey", "lrep").toDF("leader", "salt", "node", "key", "rep")
+    dealt = _with_text(rays.unionAll(leads).withColumnRenamed("key", "_key"), rows).select("leader", "salt", "node", "text")
+    dealt = dealt.repartition("leader", "salt").sortWithinPartitions("leader", "salt", F.col("node") != F.col("leader"))
+    links = stored(dealt.mapInArrow(_star, "a long, b long, similarity double"), "links")
+    release(spark)
+    labels = stored(connected_components(links), "labels")
+
+    # Buckets whose other members still lie in several classes: all their pairs, in blocks.
+    with_comp = members.select("h", "node", "n").join(labels.hint("merge"), "node", "left").select("h", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    mixed = with_comp.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("words")).where("lo <> hi")
+    share = F.greatest(F.col("m") / MAX_BLOCK, F.col("words") / MAX_BLOCK_WORDS)
+    mixed = stored(mixed.select("h", F.when(share <= 1, 1).otherwise(F.ceil(share * 2)).cast("int").alias("halves")), "mixed")
     if not mixed.isEmpty():
-        left = with_comp.join(mixed, ["band", "h"]).withColumn("half", F.pmod(F.xxhash64("node"), F.col("halves")).cast("int"))
-        dealt = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("halves") - 1))).where("halves = 1 or half <> other")
+        halved = with_comp.drop("n").join(mixed.hint("merge"), "h").withColumn("half", F.pmod(F.xxhash64("node"), F.col("halves")).cast("long"))
+        paired = halved.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("halves") - 1))).where("halves = 1 or half <> other")
         block = F.when(F.col("halves") == 1, 0).otherwise(F.least("half", "other") * F.col("halves") + F.greatest("half", "other"))
-        dealt = dealt.select("band", "h", block.alias("block"), "node", "comp").join(texts, "node")
-        dealt = dealt.repartition("band", "h", "block").sortWithinPartitions("band", "h", "block")
-        more = stored(dealt.select("band", "h", "block", "node", "comp", "text").mapInArrow(_blocks, "a long, b long, similarity double"), "links")
-        links = links.unionAll(more)
-        labels = stored(_merged(labels, more), "labels")
-
-    named = nodes.select("node", "key", "rep").join(labels, "node", "left").select("key", "rep", F.coalesce("comp", "node").alias("comp"))
+        paired = paired.select("h", block.alias("block"), "node", "comp").join(nodes.select("node", "key", "rep", "n", "bands", "cells").hint("merge"), "node")
+        paired = paired.select("h", "block", "node", "comp", "key", "rep", "n", "bands", "cells").repartition("h", "block").sortWithinPartitions("h", "block")
+        wanted = stored(paired.mapInArrow(_partners, f"h long, block long, node long, comp long, key binary, rep {kind}"), "partners")
+        if not wanted.isEmpty():
+            texts = _with_text(wanted.withColumnRenamed("key", "_key"), rows).select("h", "block", "node", "comp", "text")
+            more = texts.repartition("h", "block").sortWithinPartitions("h", "block").mapInArrow(_blocks, "a long, b long, similarity double")
+            more = stored(more, "links")
+            links = links.unionAll(more)
+            labels = stored(_merged(labels, more), "labels")
+            release(spark)
+
+    named = labels.join(nodes.select("node", "key", "rep").hint("merge"), "node")
+    named = stored(named.select("comp", "key", "rep"), "named")
     names = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("key")))["key"].alias("kept_key"))
-    classes = stored(named.join(names, "comp").select("key", "class_id", F.col("key") == F.col("kept_key"), "rep").toDF("key", "class_id", "kept_text", "rep"), "classes")
-    return signed.select("id", "key").join(classes, "key"), links
+    found = named.join(names.hint("merge"), "comp").select("key", "class_id", (F.col("key") == F.col("kept_key")).alias("kept_text"))
+    classes = nodes.select("key", "rep").join(found.hint("merge"), "key", "left")
+    classes = stored(classes.select("key", F.when(F.col("kept_text").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("kept_text", F.lit(True)).alias("kept_text"), "rep"), "classes")
+    return signed.select("id", "key").join(classes.hint("merge"), "key"), links
 
 
 def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, class_id`` and ``kept`` (one row of each class)."""
+    """One row per document: ``doc_id, class_id`` and ``kept`` (one text of each class; repeated rows of it alike)."""
     members, _ = near_classes(docs, id_col, text_col)
     kept = F.col("kept_text") & F.col("id").eqNullSafe(F.col("rep"))
     return members.select(F.col("id").alias("doc_id"), "class_id", kept.alias("kept"))
@@ -332,11 +430,13 @@ def near_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class, with all their columns."""
     members, _ = near_classes(docs, id_col, text_col)
-    row_key = lambda i, k: F.concat_ws(":", i.cast("string"), k)
-    stay = members.where(F.col("kept_text") & F.col("id").eqNullSafe(F.col("rep"))).groupBy(row_key(F.col("id"), F.col("key")).alias("_sw_stays")).agg(F.count(F.lit(1)).alias("_sw_rows"))
-    stay = stored(stay, "stay")
-    own = docs.withColumn("_sw_key", row_key(F.col(f"`{id_col}`"), text_key(F.col(f"`{text_col}`").cast("string"))))
-    joined = own.join(stay, F.col("_sw_key") == F.col("_sw_stays"))
-    if stay.where("_sw_rows > 1").isEmpty():
-        return joined.select(docs.columns)
-    return joined.where("_sw_rows = 1").select(docs.columns).unionAll(joined.where("_sw_rows > 1").dropDuplicates(["_sw_key"]).select(docs.columns))
+    row_key = lambda i, k: F.concat_ws(":", i.cast("string"), F.hex(k))
+    stay = members.where(F.col("kept_text") & F.col("id").eqNullSafe(F.col("rep"))).groupBy(row_key(F.col("id"), F.col("key")).alias("_stays")).agg(F.count(F.lit(1)).alias("_rows"))
+    key, stays, count = unused(docs, "_sw_key", "_sw_stays", "_sw_rows")
+    stay = stored(stay, "stay").toDF(stays, count)
+    own = docs.withColumn(key, row_key(F.col(f"`{id_col}`"), text_key(F.col(f"`{text_col}`").cast("string"))))
+    joined = own.join(stay.hint("merge"), F.col(key) == F.col(stays))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if stay.where(F.col(count) > 1).isEmpty():
+        return joined.select(columns)
+    return joined.where(F.col(count) == 1).select(columns).unionAll(joined.where(F.col(count) > 1).dropDuplicates([key]).select(columns))

@@ -271,7 +271,7 @@ def test_large_bucket_of_false_candidates_is_worked_off(spark, monkeypatch):
 
 def test_components(spark):
     edges = [(i, i + 1) for i in range(12)] + [(100, i) for i in range(101, 150)] + [(5, 5)]
-    out = {r["node"]: r["comp"] for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    out = {r["node"]: r["comp"] for r in minhash.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(out[i] == 0 for i in range(13)) and all(out[i] == 100 for i in range(100, 150)) and len(out) == 63
 
 
