@@ -351,6 +351,67 @@ def test_license_text_with_changes(spark):
     assert found[2]["labels"] == ""
 
 
+def scan_texts(spark, texts):
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    return {r["doc_id"]: r for r in rows}
+
+
+def test_every_license_notice_has_its_own_label_alone(spark):
+    texts = [" ".join(prose(900 + i, 30)) + ". " + t + " " + " ".join(prose(950 + i, 30)) for i, (_, t) in enumerate(licenses.TEMPLATES)]
+    found = scan_texts(spark, [*texts, None, "", "Released under the new license", " ".join(prose(8, 30_000)) + " " + licenses.TEMPLATES[8][1]])
+    for i, (label, t) in enumerate(licenses.TEMPLATES):
+        assert [x["label"] for x in found[i]["spans"]] == [label] and found[i]["score"] == 1.0
+        assert (found[i]["spans"][0]["start"], found[i]["spans"][0]["end"]) == (30, 30 + len(words(t)))
+    n = len(texts)
+    assert [found[n + i]["labels"] for i in range(4)] == ["", "", "", licenses.TEMPLATES[8][0]]
+    assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string, votes int, row int")).count() == 0
+
+
+def brute_licenses(text):
+    """Labels and best coverage: every template aligned with the whole text, cell by cell."""
+    w, found = words(text), []
+    for label, t in licenses.TEMPLATES:
+        x = words(t)
+        foreign = {y for other, u in licenses.TEMPLATES if other != label for y in words(u)}
+        if {tuple(w[i : i + 3]) for i in range(len(w) - 2)}.isdisjoint(tuple(x[i : i + 3]) for i in range(len(x) - 2)):
+            continue
+        # Each cell: sum, then start, equal words of the template, other places.
+        before, best = [(0, 0, (), 0)] * (len(x) + 1), (0, 0, (), 0, 0)
+        for i, word in enumerate(w):
+            row = [(0, i + 1, (), 0)]
+            for j, y in enumerate(x):
+                d, up, left = before[j], before[j + 1], row[j]
+                d = d if d[0] else (0, i, (), 0)
+                step = (d[0] + 1, d[1], (*d[2], j), d[3]) if word == y else (d[0] - 1, d[1], d[2], d[3] + 1)
+                cell = max(step, (up[0] - 1, up[1], up[2], up[3] + 1), (left[0] - 1, left[1], left[2], left[3] + 1), key=lambda c: c[0])
+                row.append(cell if cell[0] > 0 else (0, i + 1, (), 0))
+                if cell[0] >= best[0] > 0 or cell[0] > best[0]:
+                    best = (*cell, i + 1)
+            before = row
+        total, start, equal, other, end = best
+        short = len(x) < 20
+        own = {j for j, y in enumerate(x) if y not in foreign} if short else set()
+        if len(equal) >= (0.8 if short else 0.5) * len(x) and len(equal) >= 0.8 * (len(equal) + other) and own <= set(equal):
+            found.append((-total, -len(equal) / len(x), label, start, end))
+    won = []
+    for _, c, label, s, e in sorted(found):
+        if all(e <= a or b <= s for _, _, a, b in won):
+            won.append((-c, label, s, e))
+    return {label for _, label, *_ in won}, max((c for c, *_ in won), default=0.0)
+
+
+def test_license_labels_by_brute_force(spark, table):
+    notices = [t for _, t in licenses.TEMPLATES]
+    texts = [f"{a[: 2 * len(a) // 3]} -- {' '.join(prose(i, 20))} {b.replace(' the ', ' this ')}" for i, (a, b) in enumerate(zip(notices, notices[7:] + notices[:7], strict=True))]
+    texts += [notices[4].replace("General", "Lesser General"), notices[5].replace("General", "Affero General"), notices[11].replace("4.0 International", "3.0 Unported"), notices[12].replace("BY", "BY-SA")]
+    texts += [t for _, t in texts_of(table) if t and len(t) < 5000]
+    for i, r in scan_texts(spark, texts).items():
+        labels, coverage = brute_licenses(texts[i])
+        base = set(r["base_labels"].split(",")) - {""}
+        assert set(r["labels"].split(",")) - {""} == labels | base, texts[i]
+        assert r["score"] == pytest.approx(1.0 if r["n_base"] else coverage)
+
+
 # Secret scan
 
 
