@@ -610,6 +610,111 @@ def test_html_near_copies_have_no_votes(spark):
     assert all(out[i].endswith(" ".join(prose(500 + i, 80)) + f"\n\nSeen {i} times") for i in range(40, 46))
 
 
+def test_html_names_are_weak_signs():
+    """A class that reads like a sidebar drops no article; comments go, however long; state names say nothing."""
+    text = lambda h: html_extract.main_text(h, None)
+    story = " ".join(prose(60, 40))
+    assert text(f'<div class="layout has-sidebar"><div class="post"><p>{story}</p></div></div>') == story
+    assert text(f'<main><div class="widget-area"><p>{story}</p></div></main>') == story
+    assert text(f'<div class="sidebar-layout"><h1>Head</h1><p>{story}</p></div><div id="sidebar"><p>Links</p></div>') == f"Head\n\n{story}"
+    assert text(f'<body><div class="promo"><p>{story}</p></div><p>And this</p></body>') == f"{story}\n\nAnd this"
+    assert text(f'<div><p>{story}</p></div><div class="comments"><p>{story} {story} {story}</p></div>') == story
+    assert text(f'<div class="post comments-open"><p>{story}</p></div>') == story
+    assert text(f'<article><p>{story}</p><div class="share">Tell a friend</div><aside>By the way</aside></article>') == story
+    assert text('<div><a href="x>open</a><p>Para one</p></div>') == "open\n\nPara one"
+
+
+def test_html_votes_clear_a_name(spark):
+    """Where a host keeps its stories in an element named like a widget, beside other text that is as long, they stay."""
+    story, title = (lambda i, k=k, n=n: " ".join(prose(i + k, n)) for k, n in ((170, 40), (270, 10)))
+    page = lambda i: f"<body><h2>{title(i)}</h2><div class='widget'><p>{story(i)}</p></div><div>{' '.join(prose(160, 36))}</div></body>"
+    assert html_extract.main_text(page(0), None) == f"{title(0)}\n\n{' '.join(prose(160, 36))}"
+    assert pages_of(spark, [page(i) for i in range(8)]) == {i: f"{title(i)}\n\n{story(i)}" for i in range(8)}
+
+
+def test_html_of_broken_and_hostile_pages():
+    """Deep, wide and unclosed pages end soon and keep their text."""
+    import time
+
+    text = lambda h: html_extract.main_text(h, None)
+    began = time.perf_counter()
+    assert text("<div>" * 30_000 + "deep<p>more") == "deep\n\nmore"
+    assert text("<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>end") == "deep\n\nend"
+    assert text("<ul>" + "<li>x" * 8000) == "\n\n".join(["x"] * 8000)
+    assert text("<p>a</p>" + "<a b='" * 8000) == "a" and text("<a href=\"x>" * 8000 + "<p>end") == "end"
+    assert text("<p>a</p>" + "<![CDATA[" * 8000) == "a" and text("<p>a<!-- " * 8000) == "a" and text("a < b <3 c") == "a < b <3 c"
+    assert text('<p title="' + "z" * 200_000 + '">long</p><img src="data:' + "q" * 200_000 + '">end') == "long\n\nend"
+    assert text("<b>" * 5000 + "<div></b>" * 5000 + "t") == "t" and text("<script>" * 5000) == "" == text("<p")
+    wide = lambda n, x: html_extract.frame_of(html_extract.parse(f"<div>{f'<div><p>{x}</p><ul>u</ul></div>' * n}</div>"))[0]
+    pairs = []
+    assert html_extract.match_trees(wide(3000, "a"), wide(2900, "b"), pairs) == len(pairs) == 3 * 2900 + 2
+    deep = html_extract.frame_of(html_extract.parse("<div>" * 5000 + "x"))[0]
+    assert html_extract.match_trees(deep, deep, []) == deep.weight == html_extract.MAX_DEPTH + 2 and time.perf_counter() - began < 60
+
+
+def test_html_table_by_another_parser(spark):
+    """Every page of the table, by the standard library's parser and the marks of its pages."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = False, [""]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside |= tag == "article"
+            if tag == "br":
+                self.blocks[-1] += " "
+            elif tag != "b":
+                self.blocks.append("")
+
+        def handle_endtag(self, tag):
+            self.inside &= tag != "article"
+            if tag != "b":
+                self.blocks.append("")
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1] += data
+
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    found = {r["page_id"]: r for r in html_extract.extract_pages(pages).collect()}
+    rows = pages.collect()
+    assert len(found) == len(rows)
+    for r in rows:
+        parser = Article()
+        parser.feed(r["html"] or "")
+        parser.close()
+        expected = "\n\n".join(b for b in (" ".join(b.split()) for b in parser.blocks) if b)
+        assert found[r["page_id"]]["text"] == expected and found[r["page_id"]]["n_chars"] == len(expected)
+
+
+def test_tree_matching_by_brute_force():
+    """Random small trees: the largest match by trying every order-preserving choice."""
+    import random
+    from itertools import combinations
+
+    r = random.Random(3)
+
+    def page(depth):
+        return "".join(f"<{t}>{page(depth - 1)}</{t}>" for t in r.choices(("div", "ul", "section"), k=r.randrange(4))) if depth else "x"
+
+    def best(a, b):
+        if a.key != b.key:
+            return 0
+        most = 0
+        for k in range(min(len(a.children), len(b.children)) + 1):
+            for x in combinations(a.children, k):
+                for y in combinations(b.children, k):
+                    most = max(most, sum(best(p, q) for p, q in zip(x, y, strict=True)))
+        return 1 + most
+
+    for _ in range(150):
+        a, b = (html_extract.frame_of(html_extract.parse(page(3)))[0] for _ in range(2))
+        pairs = []
+        assert html_extract.match_trees(a, b, pairs) == best(a, b) == len(pairs)
+
+
 def test_tree_matching():
     a = html_extract.frame_of(html_extract.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))[0]
     b = html_extract.frame_of(html_extract.parse("<div><ul><li>y</li></ul><p>3</p><table><tr><td>z</table></div>"))[0]
