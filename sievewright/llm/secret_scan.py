@@ -2,7 +2,14 @@
 
 A token is a run of 20 or more characters of ``[A-Za-z0-9+/_-]`` (with ``=`` at
 its end) that has both a letter and a digit.  Its encoding is inferred from its
-alphabet (hex, base32, base36, base62, base64).  Three looks at a token:
+alphabet (hex, base32, base36, base62, base64).  The battery asks twice.
+
+Is it random?  Chi-squared uniformity over the encoding's alphabet, the
+correlation of neighbours, and the number of runs of like characters; a token
+that one of the three refutes at ``REFUTED`` (keyboard rows, counters, repeated
+blocks) has the p-value 1.
+
+Is it an ordinary identifier?  The same three properties as words have them:
 
 * the characters: uniform over the encoding's alphabet, or as in words;
 * neighbours: vowels and consonants take turns in words;
@@ -11,10 +18,9 @@ alphabet (hex, base32, base36, base62, base64).  Three looks at a token:
 
 Together they are the likelihood of the token as random over that of an ordinary
 identifier; an ordinary one exceeds t with a probability of at most 1 / t, which
-is the p-value.  ``battery`` has the tests one by one.  Tokens are declared by
-the Benjamini-Hochberg rule at rate ``FDR`` within each class of lengths, from a
-histogram of p-values over all documents (a fixed number of bins, however many
-tokens).
+is the p-value.  Tokens are declared by the Benjamini-Hochberg rule at rate
+``FDR`` within each class of lengths, from a histogram of p-values over all
+documents (a fixed number of bins, however many tokens).
 
 Defined results: a null text counts as empty; a document without spans has the
 hash of the empty string; repeated rows are scanned each on its own; an empty
@@ -42,6 +48,8 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}={0,2}"
 MIN_ASSIGNED = 6
 
 FDR = 0.001
+#: A p-value below which a test refutes that a token is random.
+REFUTED = 1e-4
 STICKY = 0.15
 #: Frequencies of letters in words, the share of letters that come from no word, and how often a vowel follows a vowel, a consonant and neither.
 LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1), strict=True))
@@ -93,7 +101,7 @@ def _char_class(c: str) -> int:
 
 
 def battery(token: str) -> tuple[float, float, float]:
-    """P-values of chi-squared uniformity, serial correlation and runs."""
+    """P-values of a random token of the inferred encoding: chi-squared uniformity, serial correlation, runs."""
     body = token.rstrip("=")
     _, alphabet = encoding(body)
     value = {c: i for i, c in enumerate(alphabet)}
@@ -108,9 +116,12 @@ def battery(token: str) -> tuple[float, float, float]:
     mean = sum(codes) / n
     spread = sum((x - mean) ** 2 for x in codes)
     serial = abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:], strict=False)) / spread) * math.sqrt(n) if spread else math.inf
-    classes = [_char_class(c) for c in body if c.isalnum()]  # separators are no evidence
-    changes = sum(a != b for a, b in zip(classes, classes[1:], strict=False))
-    return _upper_chi2(chi, m - 1), 2 * _upper_normal(serial), _upper_binomial(max(0, len(classes) - 1), changes, STICKY)
+    classes = [_char_class(c) for c in body if c.isalnum()]
+    shares = [sum(_char_class(c) == k for c in alphabet if c.isalnum()) for k in range(3)]
+    change = 1 - sum(x * x for x in shares) / sum(shares) ** 2
+    steps, changes = max(0, len(classes) - 1), sum(a != b for a, b in zip(classes, classes[1:], strict=False))
+    tails = _upper_binomial(steps, changes, change), _upper_binomial(steps, steps - changes, 1 - change)
+    return _upper_chi2(chi, m - 1), 2 * _upper_normal(serial), min(1.0, 2 * min(tails))
 
 
 def _letter_logs() -> dict[tuple[str, int], float]:
@@ -150,6 +161,12 @@ def combined(token: str) -> float:
     return math.exp(-max(0.0, min(log, 700.0)))
 
 
+def p_value(token: str) -> float:
+    """As an ordinary identifier; 1 for a token that is not random either."""
+    p = combined(token)
+    return 1.0 if p > FDR or min(battery(token)) < REFUTED else p
+
+
 def length_class(n: int) -> int:
     return sum(n >= x for x in LENGTHS)
 
@@ -189,7 +206,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = []
             for m in token.finditer(text):
                 if mixed.match(m[0]) and not any(s < m.end() and m.start() < e for s, _, e in spans):
-                    found.append({"start": m.start(), "end": m.end(), "class": length_class(len(m[0])), "bin": p_bin(combined(m[0]))})
+                    found.append({"start": m.start(), "end": m.end(), "class": length_class(len(m[0])), "bin": p_bin(p_value(m[0]))})
             tokens.append(found)
         columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(3)]
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(digests, pa.string()), pa.array(bases, kinds), pa.array(tokens, others)], names)

@@ -431,15 +431,62 @@ def test_secrets(docs, table):
         same_rows(out.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256"), expected)
 
 
-def test_randomness_tests_tell_secrets_from_names():
-    random = [hashlib.sha256(bytes([i])).hexdigest()[: 24 + i % 20] for i in range(100)]
-    names = ["my-variable-name-number-2", "release-candidate-2024-final", "some_long_identifier_v2"]
-    runs = [secret_scan.battery(t) for t in random]
-    assert sum(r[0] >= 0.001 and r[1] >= 0.001 and r[2] < 1e-2 for r in runs) > 90
-    assert all(secret_scan.battery(t)[2] > 0.05 for t in names)
+def test_randomness_battery():
+    import random as rnd
+
+    r, digits, low, up = rnd.Random(11), string.digits, string.ascii_lowercase, string.ascii_uppercase
+    for alphabet in ("0123456789abcdef", up + "234567", low + digits, up + digits, low + up + digits, low + up + digits + "+/"):
+        for n in (20, 32, 64, 300):
+            refuted = sum(min(secret_scan.battery("".join(r.choices(alphabet, k=n)))) < secret_scan.REFUTED for _ in range(200))
+            assert refuted <= 2, (alphabet, n)
+    for made in ("abyz1234" * 5, "0123456789abcdefghijklmnopqrstuvwxyz", "a1" * 20, "x9" + "z" * 30, "qwertyuiop1234567890" * 2, "A" * 19 + "1" + "B" * 20):
+        assert secret_scan.p_value(made) == 1.0, made
+    names = ["my-variable-name-number-2", "release-candidate-2024-final", "some_long_identifier_v2", "getElementByIdAndClassName2", "org/apache/commons/io/FileUtils2"]
+    assert all(secret_scan.p_value(t) > secret_scan.FDR for t in names)
     assert secret_scan.declared_bins([(1, 120, 50), (1, 5, 50)]) == {1: 120}
 
 
+def test_random_spans_by_brute_force(spark, table):
+    """All spans: tokens, p-values and the Benjamini-Hochberg rule on the sorted values themselves; with precision and recall of planted tokens."""
+    import random as rnd
+
+    r = rnd.Random(3)
+    alphabet = string.ascii_letters + string.digits
+    vocabulary = "user account release candidate final variable name number service handler request index window order customer local machine".split()
+    rows, planted = [], set()
+    for i in range(300):
+        w = prose(1000 + i, 40)
+        if i % 3 == 0:
+            token = "".join(r.choices(alphabet if i % 2 else string.ascii_lowercase + string.digits, k=r.choice((24, 32, 40, 64))))
+            if re.search("[0-9]", token) and re.search("[A-Za-z]", token) and not re.search("[0-9a-f]{24}|AKIA", token):
+                w[20] = token
+                planted.add(i)
+        else:
+            w[20] = r.choice("_-/").join([*r.choices(vocabulary, k=4), str(r.randrange(99))])
+        rows.append((i, " ".join(w)))
+    rows += [(1000 + i, t) for i, t in texts_of(table)]
+    tokens = defaultdict(list)
+    base = {}
+    for i, t in rows:
+        base[i] = secret_scan.base_spans(t or "", (re.compile(secret_scan.ASSIGN, re.I | re.A), re.compile(secret_scan.ACCESS), re.compile(secret_scan.HEX)))
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{20,}={0,2}", t or ""):
+            if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, _, e in base[i]):
+                tokens[sum(len(m[0]) >= x for x in (20, 24, 32, 48, 64, 128))].append((secret_scan.p_value(m[0]), i, m.start(), m.end()))
+    random_spans = defaultdict(list)
+    for found in tokens.values():
+        found.sort()
+        limit = max((p for k, (p, *_) in enumerate(found, 1) if p <= secret_scan.FDR * k / len(found)), default=-1.0)
+        for p, i, s, e in found:
+            if p <= limit:
+                random_spans[i].append((s, 3, e))
+    out = {x["doc_id"]: x for x in secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    differ = [i for i, _ in rows if out[i]["spans"] != secret_scan.joined(sorted(base[i] + random_spans[i]))]
+    assert len(differ) <= 2  # p-values within one bin of the limit
+    hit = {i for i in out if i < 1000 and out[i]["n_random"]}
+    assert len(hit & planted) >= 0.95 * len(planted) and hit <= planted
+    assert secret_scan.scan_secrets(spark.createDataFrame([], "doc_id long, text string, tokens int, base int")).count() == 0
+
+
 def test_secrets_of_every_alphabet_are_declared(spark):
     """Random tokens of base32, base36, base62 and base64 of many lengths; identifiers are left alone."""
     import random
