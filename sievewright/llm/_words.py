@@ -60,6 +60,18 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
         lo = hi
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, none negative, compressed in the smallest type that holds them."""
+    values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
+    return bytes([values.itemsize]) + len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(blob: bytes | pa.Buffer) -> np.ndarray:
+    head = bytes(blob[:9])
+    size, n = head[0], int.from_bytes(head[1:], "little")
+    return np.frombuffer(pa.decompress(blob[9:], decompressed_size=size * n, codec="zstd", asbytes=True), f"<u{size}")
+
+
 class Words:
     """Words of a slice: ``start``, ``end`` (bytes), ``doc`` (row in the slice), ``hash``; ``first[d]`` is the first word of row d."""
 

@@ -4,7 +4,9 @@ Two interpolated bigram models, one of target text and one of the background
 (all documents), share one vocabulary.  They have the same order and smoothing,
 so that their losses differ by the text they saw alone.  A document's score is
 the mean over its words of target loss less background loss; the lower, the
-more like the target.
+more like the target.  Every document is held out: its own words are taken from
+the counts of both models before they judge it, so that none is scored by a
+model that has learnt it.
 
 Words, contexts and pairs of words are told apart by keys of 64 bits.  Their
 counts are a distributed table that grows with the corpus, cut into buckets by
@@ -13,8 +15,9 @@ each of its distinct keys once to the key's bucket, with its counts, and gets
 the corpus counts back.  A frequent pair thus is one record a group.
 
 Defined results: a null text counts as empty; a document without words has null
-losses and score; with an empty target the target model is the uniform one;
-repeated rows are scored alike; an empty table gives an empty result.
+losses and score; with an empty target the target model is the uniform one, and
+so it is for the only target document itself; repeated rows are scored alike,
+each with its repeats in the models; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.llm._common import stored
-from sievewright.llm._words import Words, mix, slices
+from sievewright.llm._common import release, stored
+from sievewright.llm._words import Words, mix, packed, slices, unpacked
 
 #: The uniform estimate is over so many words, or as many as the documents have if these are more.
 VOCAB = 1 << 16
@@ -56,39 +59,35 @@ def ids_of(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of documents: their words as places in a list of the group's distinct words."""
+    """Groups of documents with their texts, compressed."""
     task, n = TaskContext.get().partitionId() << 32, 0
     ids: list[pa.Array] = []
-    hashes: list[np.ndarray] = []
-    sizes: list[np.ndarray] = []
+    texts: list[np.ndarray] = []
+    lengths: list[np.ndarray] = []
     targets: list[np.ndarray] = []
+    held = words = in_target = 0
 
     def bound() -> pa.RecordBatch:
-        every, size, target = np.concatenate(hashes), np.concatenate(sizes), np.concatenate(targets)
-        words, place = np.unique(every, return_inverse=True)
         rows = pa.concat_arrays(ids)
-        blobs = (size.astype(np.int64), target, words, place.astype(np.uint32))
+        blobs = (packed(np.concatenate(x)) for x in (lengths, targets, texts))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([task + n], pa.int64()), pa.array([len(every)], pa.int64()), pa.array([int(size[target].sum())], pa.int64()),
-                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), *(pa.array([x.tobytes()], pa.binary()) for x in blobs),
-            ],
-            ["group", "n", "n_target", "ids", "sizes", "targets", "words", "places"],
-        )
-
-    held = 0
+            [pa.array([x], pa.int64()) for x in (task + n, words, in_target)] + [pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows), *(pa.array([x], pa.binary()) for x in blobs)],
+            ["group", "n", "n_target", "ids", "lengths", "targets", "texts"],
+        )
+
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column(1)):
-            w = Words(data, offsets)
+            size = np.diff(Words(data, offsets).first)
+            target = np.array(batch.column(2).slice(lo, hi - lo).to_pylist(), bool)
             ids.append(batch.column(0).slice(lo, hi - lo))
-            hashes.append(w.hash)
-            sizes.append(np.diff(w.first))
-            targets.append(np.array(batch.column(2).slice(lo, hi - lo).to_pylist(), bool))
-            held += max(len(w.hash), hi - lo)
+            texts.append(data)
+            lengths.append(np.diff(offsets))
+            targets.append(target.astype(np.uint8))
+            words, in_target, held = words + int(size.sum()), in_target + int(size[target].sum()), held + max(int(size.sum()), hi - lo)
             if held >= GROUP:
                 yield bound()
-                n, held = n + 1, 0
-                for x in (ids, hashes, sizes, targets):
+                n, held, words, in_target = n + 1, 0, 0, 0
+                for x in (ids, texts, lengths, targets):
                     x.clear()
     if ids:
         yield bound()
@@ -97,10 +96,11 @@ def _bind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Group:
     """A group's documents, its distinct keys in the order of their buckets, and where each bucket begins; ``place`` is the key of each word, context and pair."""
 
-    def __init__(self, sizes: bytes, targets: bytes, words: bytes, places: bytes, buckets: int):
-        self.sizes, self.targets = np.frombuffer(sizes, np.int64), np.frombuffer(targets, bool)
-        own = np.frombuffer(words, np.uint64)[np.frombuffer(places, np.uint32)]
-        keys, place = np.unique(np.concatenate(with_context(own, np.cumsum(self.sizes) - self.sizes)), return_inverse=True)
+    def __init__(self, lengths: pa.Buffer, targets: pa.Buffer, texts: pa.Buffer, buckets: int):
+        offsets = np.concatenate((np.zeros(1, np.int64), np.cumsum(unpacked(lengths), dtype=np.int64)))
+        w = Words(unpacked(texts), offsets)
+        self.sizes, self.targets = np.diff(w.first), unpacked(targets).astype(bool)
+        keys, place = np.unique(np.concatenate(ids_of(w)), return_inverse=True)
         bucket = (mix(keys) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         rank = np.empty(len(keys), np.int64)
@@ -108,6 +108,12 @@ class Group:
         self.keys, self.place = keys[order], rank[place]
         self.bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
 
+    def own_counts(self) -> np.ndarray:
+        """For each word, context and pair, how often its own document has it."""
+        doc = np.tile(np.repeat(np.arange(len(self.sizes)), self.sizes), 3)
+        _, of, count = np.unique(doc * max(1, len(self.keys)) + self.place, return_inverse=True, return_counts=True)
+        return count[of]
+
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """How often each key is in the target documents and in all."""
         chosen = np.tile(np.repeat(self.targets, self.sizes), 3)
@@ -118,9 +124,9 @@ def _sender(buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, *blobs in zip(*batch.columns, strict=True):
-                g = Group(*(x.as_py() for x in blobs), buckets)
+                g = Group(*(x.as_buffer() for x in blobs), buckets)
                 at = [b for b in range(buckets) if g.bounds[b] < g.bounds[b + 1]]
-                cut = [pa.array([x[g.bounds[b] : g.bounds[b + 1]].tobytes() for b in at], pa.binary()) for x in (g.keys, *g.counts())]
+                cut = [pa.array([f(x[g.bounds[b] : g.bounds[b + 1]]) for b in at], pa.binary()) for f, x in zip((np.ndarray.tobytes, packed, packed), (g.keys, *g.counts()), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array([name.as_py()] * len(at), pa.int64()), *cut], ["bucket", "group", "keys", "target", "every"])
 
     return send
@@ -131,33 +137,35 @@ def _sum(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Itera
     names, blobs = [], [[], [], []]
     for batch in batches:
         names += batch.column(1).to_pylist()
-        for i, (kind, column) in enumerate(zip((np.uint64, np.uint32, np.uint32), batch.columns[2:], strict=True)):
-            blobs[i] += [np.frombuffer(x.as_py(), kind) for x in column]
+        for i, column in enumerate(batch.columns[2:]):
+            blobs[i] += [unpacked(x.as_buffer()) if i else np.frombuffer(x.as_buffer(), np.uint64) for x in column]
     ends = np.cumsum([len(x) for x in blobs[0]])[:-1]
     keys, place = np.unique(np.concatenate(blobs[0]), return_inverse=True)
     sums = [np.bincount(place, np.concatenate(x), len(keys)).astype(np.int64)[place] for x in blobs[1:]]
     n_words = [int((keys & _KIND == 0).sum())] + [0] * (len(names) - 1)
-    back = [pa.array([x.tobytes() for x in np.split(s, ends)], pa.binary()) for s in sums]
+    back = [pa.array([packed(x) for x in np.split(s, ends)], pa.binary()) for s in sums]
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(names), pa.int32()), pa.array(names, pa.int64()), pa.array(n_words, pa.int64()), *back], ["bucket", "group", "n_words", "target", "every"])
 
 
-def losses(own: np.ndarray, context: np.ndarray, pair: np.ndarray, total: int, vocabulary: int) -> np.ndarray:
+def losses(own: np.ndarray, context: np.ndarray, pair: np.ndarray, total: np.ndarray, vocabulary: int) -> np.ndarray:
     """Loss in nats of every word from the counts of it, its context and their pair; after a context never seen the bigram's weight goes to the others."""
-    low = UNIGRAM * (own / total if total else np.full(len(own), 1 / vocabulary)) + (1 - BIGRAM - UNIGRAM) / vocabulary
+    low = UNIGRAM * np.where(total > 0, own / np.maximum(total, 1), 1 / vocabulary) + (1 - BIGRAM - UNIGRAM) / vocabulary
     return -np.log(np.where(context == 0, low / (1 - BIGRAM), low + BIGRAM * pair / np.maximum(context, 1)))
 
 
 def _scorer(buckets: int, totals: tuple[int, int], vocabulary: int):
     def score(bound: pa.Table, answers: pa.Table) -> pa.Table:
-        g = Group(*(bound.column(c)[0].as_py() for c in ("sizes", "targets", "words", "places")), buckets)
+        g = Group(*(bound.column(c)[0].as_buffer() for c in ("lengths", "targets", "texts")), buckets)
         n = len(g.sizes)
         doc = np.repeat(np.arange(n), g.sizes)
-        means = []
-        for name, total in zip(("target", "every"), totals, strict=True):
+        held_out, means = g.own_counts(), []
+        for name, total, among in zip(("target", "every"), totals, (g.targets, np.ones(n, bool)), strict=True):
             counts = np.zeros(len(g.keys), np.int64)
             for b, x in zip(answers.column("bucket").to_pylist(), answers.column(name), strict=True):
-                counts[g.bounds[b] : g.bounds[b + 1]] = np.frombuffer(x.as_py(), np.int64)
-            means.append(np.bincount(doc, losses(*np.split(counts[g.place], 3), total, vocabulary), n) / np.maximum(g.sizes, 1))
+                counts[g.bounds[b] : g.bounds[b + 1]] = unpacked(x.as_buffer())
+            seen = counts[g.place] - held_out * np.tile(among[doc], 3)
+            loss = losses(*np.split(seen, 3), (total - g.sizes * among)[doc], vocabulary)
+            means.append(np.bincount(doc, loss, n) / np.maximum(g.sizes, 1))
         none = g.sizes == 0
         columns = [bound.column("ids")[0].values, pa.array(g.sizes), *(pa.array(x, mask=none) for x in (*means, means[0] - means[1]))]
         return pa.Table.from_arrays(columns, ["doc_id", "n_words", "target_loss", "background_loss", "score"])
@@ -176,13 +184,16 @@ def score_documents(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id",
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     chosen = targets.select(F.col("doc_id").alias("_sw_id")).distinct().hint("merge")
     marked = rows.join(chosen, F.col("doc_id") == F.col("_sw_id"), "left").select("doc_id", "text", F.col("_sw_id").isNotNull().alias("target"))
-    schema = f"group long, n long, n_target long, ids array<{kind}>, sizes binary, targets binary, words binary, places binary"
+    schema = f"group long, n long, n_target long, ids array<{kind}>, lengths binary, targets binary, texts binary"
     bound = stored(marked.mapInArrow(_bind, schema), "lm-groups")
+    release(docs.sparkSession)
     n, n_target = (x or 0 for x in bound.agg(F.sum("n"), F.sum("n_target")).first())
     buckets = max(BUCKETS, n // BUCKET)
-    sent = bound.select("group", "sizes", "targets", "words", "places").mapInArrow(_sender(buckets), "bucket int, group long, keys binary, target binary, every binary")
+    sent = bound.select("group", "lengths", "targets", "texts").mapInArrow(_sender(buckets), "bucket int, group long, keys binary, target binary, every binary")
     counted = sent.groupBy("bucket").applyInArrow(_sum, "bucket int, group long, n_words long, target binary, every binary")
     counted = stored(counted, "lm-counts")
+    release(docs.sparkSession)
     vocabulary = max(VOCAB, counted.agg(F.sum("n_words")).first()[0] or 0)
-    both = bound.groupBy("group").cogroup(counted.groupBy("group"))
+    bound = bound.select("group", "ids", "lengths", "targets", "texts")
+    both = bound.groupBy("group").cogroup(counted.select("bucket", "group", "target", "every").groupBy("group"))
     return both.applyInArrow(_scorer(buckets, (n_target, n), vocabulary), f"doc_id {kind}, n_words long, target_loss double, background_loss double, score double")

@@ -544,60 +544,64 @@ def test_suffix_dedup_of_periodic_and_touching_texts(spark):
 # LM scoring
 
 
-def test_lm_score(spark, docs):
-    targets = spark.createDataFrame([(0,), (2,), (2,), (None,)], "doc_id long")
-    out = {r["doc_id"]: r for r in lm_score.score_documents(docs, targets).collect()}
-    assert len(out) == len({i for i, *_ in DOCS}) and out[4]["score"] is None and out[4]["n_words"] == 0
-    assert out[0]["score"] < out[13]["score"] and out[0]["score"] < 0 < out[13]["score"]
-    # Brute force: the same models from plain counters.
+def held_out_losses(rows, chosen, size):
+    """Mean loss of every document by plain counters of the chosen others."""
     from math import log
 
-    from sievewright.llm._words import words_of
-
-    def ids(t):
-        own, before, cell = lm_score.ids_of(words_of(t))
-        return list(zip(own.tolist(), before.tolist(), cell.tolist(), strict=True))
-
-    for model, name in ((lambda i: i in (0, 2), "target_loss"), (lambda i: True, "background_loss")):
-        uni, ctx, bi = Counter(), Counter(), Counter()
-        for i, t, *_ in DOCS:
-            if model(i):
-                for o, b, c in ids(t):
-                    uni[o] += 1
-                    ctx[b] += 1
-                    bi[c] += 1
-        n = sum(uni.values())
-        for i, t, *_ in DOCS:
-            if i in (0, 3, 13, 15):
-                loss = []
-                for o, b, c in ids(t):
-                    low = 0.35 * uni[o] / n + 0.05 / lm_score.VOCAB
-                    loss.append(-log(low + 0.6 * min(1.0, bi[c] / ctx[b]) if ctx[b] else low / 0.4))
-                assert out[i][name] == pytest.approx(sum(loss) / len(loss), rel=1e-4)
+    def grams(t):
+        w = words(t)
+        return Counter(w), Counter([None, *w[:-1]] if w else []), Counter(zip([None, *w[:-1]], w)), w
+
+    own = [grams(t) for _, t in rows]
+    total = [Counter(), Counter(), Counter()]
+    for c, g in zip(chosen, own, strict=True):
+        for x, y in zip(total, g, strict=False):
+            x.update(y if c else {})
+    out = []
+    for c, g in zip(chosen, own, strict=True):
+        uni, ctx, bi = ((lambda k, x=x, y=y: x[k] - (y[k] if c else 0)) for x, y in zip(total, g, strict=False))
+        n, loss = sum(total[0].values()) - (len(g[3]) if c else 0), []
+        for b, o in zip([None, *g[3][:-1]], g[3]):
+            low = 0.35 * (uni(o) / n if n else 1 / size) + 0.05 / size
+            loss.append(-log(low + 0.6 * bi((b, o)) / ctx(b) if ctx(b) else low / 0.4))
+        out.append(sum(loss) / len(loss) if loss else None)
+    return out
+
+
+@pytest.mark.parametrize("which", ["docs", "table"])
+def test_lm_score(spark, which, request, monkeypatch):
+    """Every document of both tables, with null, empty, long and repeated ones, against plain counters."""
+    frame = request.getfixturevalue(which)
+    monkeypatch.setattr(lm_score, "GROUP", 3000)
+    rows = texts_of(frame)
+    good = {0, 2, 16, None} if which == "docs" else {i for i, _ in rows if i % 3 == 0}
+    targets = spark.createDataFrame([(i,) for i in good] * 2, "doc_id long")
+    size = max(lm_score.VOCAB, len({w for _, t in rows for w in words(t)}))
+    expected = [held_out_losses(rows, c, size) for c in ([i in good and i is not None for i, _ in rows], [True] * len(rows))]
+    found = sorted(((str(r["doc_id"]), r["n_words"], r["target_loss"], r["background_loss"], r["score"]) for r in lm_score.score_documents(frame, targets).collect()), key=str)
+    want = sorted(((str(i), len(words(t)), a, b, None if a is None else a - b) for (i, t), a, b in zip(rows, *expected, strict=True)), key=str)
+    assert len(found) == len(want)
+    for x, y in zip(found, want, strict=True):
+        assert x[:2] == y[:2] and x[2:] == (None,) * 3 if y[2] is None else x[:2] == y[:2] and x[2:] == pytest.approx(y[2:], rel=1e-9, abs=1e-9)
+
+
+def test_lm_of_odd_tables(spark):
+    none = spark.createDataFrame([], "doc_id long")
+    assert lm_score.score_documents(spark.createDataFrame([], "doc_id long, text string, target int, group int"), none).count() == 0
+    only = lm_score.score_documents(spark.createDataFrame([(1, "some words here", 1, 1)], "doc_id long, text string, target int, group int"), spark.createDataFrame([(1,)], "doc_id long")).first()
+    assert only["target_loss"] == only["background_loss"] and only["score"] == 0
 
 
 def test_lm_counts_grow_with_the_corpus(spark, monkeypatch):
     """More words and pairs than any fixed table had: every count is exact, across many groups and buckets."""
-    from math import log
-
     monkeypatch.setattr(lm_score, "GROUP", 20_000)
-    texts = [" ".join(f"w{(i * 7919 + j * j) % 90_000}" for j in range(2000)) for i in range(60)]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 90_000}" for j in range(2000))) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = {r["doc_id"]: r for r in lm_score.score_documents(frame, spark.range(20).withColumnRenamed("id", "doc_id")).collect()}
-    size = max(lm_score.VOCAB, len({w for t in texts for w in t.split()}))
-    for name, chosen in (("target_loss", texts[:20]), ("background_loss", texts)):
-        uni, ctx, bi = Counter(), Counter(), Counter()
-        for t in chosen:
-            w = t.split()
-            uni.update(w)
-            ctx.update([None, *w[:-1]])
-            bi.update(zip([None, *w[:-1]], w, strict=True))
-        n = sum(uni.values())
-        for i in (0, 30, 59):
-            w = texts[i].split()
-            low = [0.35 * uni[o] / n + 0.05 / size for o in w]
-            loss = [-log(x + 0.6 * bi[b, o] / ctx[b] if ctx[b] else x / 0.4) for x, b, o in zip(low, [None, *w[:-1]], w, strict=True)]
-            assert out[i][name] == pytest.approx(sum(loss) / len(loss), rel=1e-9)
+    size = max(lm_score.VOCAB, len({w for _, t in rows for w in t.split()}))
+    for name, chosen in (("target_loss", [i < 20 for i in range(60)]), ("background_loss", [True] * 60)):
+        for i, loss in enumerate(held_out_losses(rows, chosen, size)):
+            assert out[i][name] == pytest.approx(loss, rel=1e-9)
 
 
 # HTML extraction
