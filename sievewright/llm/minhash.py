@@ -52,7 +52,7 @@ K = 5
 MIN_SIMILARITY = 0.8
 ELL, ROWS, BANDS = 2, 2, 20
 #: Texts of a bucket that are compared all at once; larger buckets are dealt into blocks that meet in pairs.
-MAX_BLOCK, MAX_BLOCK_WORDS = 800, 1 << 22
+MAX_BLOCK, MAX_BLOCK_WORDS = 400, 1 << 22
 #: Members that meet one copy of their leader's text.
 STAR = 2048
 #: Shingles whose occurrences are multiplied at once.
