@@ -83,7 +83,7 @@ levels AS (
   FROM ratios WINDOW o AS (ORDER BY ratio, source IS NULL, encode(source) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 targets AS (
   SELECT source, source_size,
-         least(cap, coalesce((SELECT level FROM levels WHERE level < ratio ORDER BY ratio, level LIMIT 1) * weight, cap))::DOUBLE AS target
+         least(cap, coalesce((SELECT level FROM levels WHERE level < ratio ORDER BY ratio, level DESC LIMIT 1) * weight, cap))::DOUBLE AS target
   FROM levels),
 split AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS copies FROM targets),

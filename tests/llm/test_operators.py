@@ -6,6 +6,7 @@ import string
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from sievewright.llm import decontaminate, html_extract, licenses, line_dedup, lm_score, minhash, mixing, quality, secret_scan, suffix_dedup
 
@@ -146,7 +147,23 @@ def test_mix(which, request):
         assert abs(taken[s] - target[s]) <= 2 * largest[s] / 2 + 1e-6
 
 
+def test_mix_of_as_many_sources_as_documents(spark):
+    """Hosts as sources, sorted in several parts: targets as by brute force."""
+    rows = [(i, " ".join(["w"] * (i * 37 % 90)), f"host{i * 7919 % 1000:04d}" if i % 50 else None) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = defaultdict(int)
+    for _, t, s in rows:
+        sizes[s] += len(t.split())
+    target = brute_targets(sizes)
+    source = {i: s for i, _, s in rows}
+    out = mixing.mix_sources(frame).collect()
+    assert len(out) == 1500 and all(r["target"] == pytest.approx(target[source[r["doc_id"]]]) and r["taken"] <= 3 * r["size"] for r in out)
+
+
 def test_mix_keeps_columns_and_empty(spark, docs):
+    taken = docs.withColumn("_sw_copies", F.lit(7)).withColumn("_sw_key", F.lit(1)).withColumn("copies", F.lit(2))
+    out = mixing.mix_sources(taken, keep=True)
+    assert out.columns == [*taken.columns, "_sw_copies_"] and not out.where("_sw_copies <> 7 or _sw_copies_ < 1").count()
     out = mixing.mix_sources(docs, keep=True)
     assert out.columns == [*docs.columns, "_sw_copies"] and out.where("_sw_copies < 1").isEmpty()
     assert mixing.mix_sources(spark.createDataFrame([], SCHEMA)).count() == 0
@@ -162,7 +179,7 @@ def brute_lines(rows):
     first, gone = {}, defaultdict(set)
     for k in order:
         for i in range(len(filled[k]) - 2):
-            place = (rows[k], i)
+            place = (k, i)
             if first.setdefault(tuple(filled[k][i : i + 3]), place) != place:
                 gone[k].update((i, i + 1, i + 2))
     out = []
@@ -185,9 +202,17 @@ def test_line_dedup(which, request):
     same_rows(line_dedup.line_report(frame), brute_lines(texts_of(frame)))
 
 
+def test_line_dedup_of_equal_rows(spark):
+    """Rows with equal ids and texts, null ids among them, with other columns: one keeps its lines, the others repeat them."""
+    rows = [(1, LINES, "a"), (1, LINES, "b"), (1, LINES, "c"), (None, "x1\ny1\nz1", "d"), (None, "x1\ny1\nz1", "e"), (2, "p\nq", "f"), (2, "p\nq", "g"), (None, None, "h"), (None, None, "i"), (3, "top\n" + LINES, "j")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _sw_key string").repartition(3)
+    same_rows(line_dedup.line_report(frame), brute_lines([r[:2] for r in rows]))
+    assert sorted(r["_sw_key"] for r in line_dedup.dedup_lines(frame).collect()) == list("abcdefghij")
+
+
 def test_line_dedup_keeps_clashing_columns(spark, docs):
-    out = line_dedup.dedup_lines(docs.drop("_sw_text"))
-    assert out.columns[: len(docs.columns) - 1] == docs.drop("_sw_text").columns and out.count() == len(DOCS)
+    out = line_dedup.dedup_lines(docs)
+    assert out.columns == [*docs.columns, "_sw_text_", "_sw_n_lines", "_sw_n_removed"] and out.count() == len(DOCS)
     assert line_dedup.line_report(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
