@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievewright.llm import decontaminate, line_dedup, minhash, mixing, quality
-from sievewright.llm._common import stored
+from sievewright.llm._common import stored, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,10 +20,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without repeated three-line passages; those of which nothing is left go."""
-    cut = line_dedup.dedup_lines(docs).where("_sw_n_removed = 0 or _sw_n_removed < _sw_n_lines")
-    changed = {"text": F.col("_sw_text"), "n_chars": F.length("_sw_text").cast("long")}
-    touched = F.col("_sw_n_removed") > 0
-    return cut.select(*(F.when(touched, changed[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+    cut = line_dedup.dedup_lines(docs)
+    text, n_lines, n_removed = map(F.col, cut.columns[-3:])
+    cut = cut.where((n_removed == 0) | (n_removed < n_lines))
+    changed = {"text": text, "n_chars": F.length(text).cast("long")}
+    return cut.select(*(F.when(n_removed > 0, changed[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,8 +38,9 @@ def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of ``copies`` of each."""
-    return mixing.mix_sources(docs, keep=True).withColumnRenamed("_sw_copies", "copies")
+    """The documents that the mix takes, with the number of ``copies`` of each (``copies_`` where the table has such a column)."""
+    taken = mixing.mix_sources(docs, keep=True)
+    return taken.withColumnRenamed(taken.columns[-1], unused(docs, "copies")[0])
 
 
 STAGES = [
