@@ -63,7 +63,7 @@ def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int, np.n
 def packed(values: np.ndarray) -> bytes:
     """Whole numbers, none negative, compressed in the smallest type that holds them."""
     values = values.astype(np.min_scalar_type(int(values.max(initial=0))))
-    return bytes([values.itemsize]) + len(values).to_bytes(8, "little") + pa.compress(values.tobytes(), codec="zstd", asbytes=True)
+    return bytes([values.itemsize]) + len(values).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(values.tobytes(), asbytes=True)
 
 
 def unpacked(blob: bytes | pa.Buffer) -> np.ndarray:

@@ -40,6 +40,26 @@ CHUNK = 4096
 _BITS = np.arange(64, dtype=np.uint64)
 
 
+class Postings:
+    """What each of many shingles leads to; as large as the number of its entries."""
+
+    def __init__(self, grams: np.ndarray, targets: np.ndarray):
+        order = np.lexsort((targets, grams))
+        grams, targets = grams[order], targets[order]
+        new = np.concatenate((np.ones(min(1, len(grams)), bool), (grams[1:] != grams[:-1]) | (targets[1:] != targets[:-1])))
+        self.grams, self.targets = grams[new], targets[new]
+
+    def of(self, grams: np.ndarray) -> list[tuple[int, np.ndarray]]:
+        """Targets in order, each with the places among ``grams`` that lead to it."""
+        first, last = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
+        n = last - first
+        target = self.targets[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
+        order = np.argsort(target, kind="stable")
+        place, target = np.repeat(np.arange(len(grams)), n)[order], target[order]
+        cuts = np.flatnonzero(np.diff(target)) + 1
+        return [(int(target[c]), p) for c, p in zip((0, *cuts.tolist()), np.split(place, cuts), strict=True)] if len(target) else []
+
+
 class Items:
     """Benchmark items of one length, with their fingerprints and the items of every shingle.
 
@@ -53,18 +73,7 @@ class Items:
         self.bags = [bag(s, weights.of(s)) for _, s in items]
         self.prints = np.array([simhash(s, weights.of(s)) for _, s in items], np.uint64)
         self.least = np.array([MIN_SIMILARITY * weights.of(s).sum() for _, s in items])
-        own = [np.unique(s) for _, s in items]
-        grams, owner = np.concatenate(own), np.repeat(np.arange(len(own)), [len(x) for x in own])
-        order = np.argsort(grams, kind="stable")
-        self.grams, self.owner = grams[order], owner[order]
-
-    def shared(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places among ``grams`` and items that have the shingle there, in the order of the items."""
-        first, last = np.searchsorted(self.grams, grams, "left"), np.searchsorted(self.grams, grams, "right")
-        n = last - first
-        item = self.owner[np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)]
-        order = np.argsort(item, kind="stable")
-        return np.repeat(np.arange(len(grams)), n)[order], item[order]
+        self.postings = Postings(np.concatenate([s for _, s in items]), np.repeat(np.arange(len(items)), [len(s) for _, s in items]))
 
 
 class Weights:
@@ -96,9 +105,7 @@ class Block:
         self.k, self.weights = k, weights
         self.groups = [Items(k, n, [(i, s) for i, s, m in items if m == n], self.weights) for n in sorted({n for *_, n in items})]
         number = {g.size: j for j, g in enumerate(self.groups)}
-        self.leads = np.zeros((len(self.weights.known), len(self.groups)), bool)
-        for _, s, n in items:
-            self.leads[self.weights.find(s), number[n]] = True
+        self.leads = Postings(np.concatenate([s for _, s, _ in items]), np.repeat([number[n] for *_, n in items], [len(s) for _, s, _ in items]))
 
 
 def bag(grams: np.ndarray, weights: np.ndarray) -> dict[int, tuple[int, int]]:
@@ -161,11 +168,8 @@ def windows_near(items: Items, grams: np.ndarray, hits: np.ndarray) -> list[tupl
         start = np.arange(max(1, len(own) - size + 1))
         end = np.minimum(start + size, len(own))
         best: dict[int, tuple[float, int, int, int]] = {}
-        place, item = items.shared(own[run - lo])
-        cuts = np.flatnonzero(np.diff(item)) + 1
-        for at in np.split(run[place] - lo, cuts) if len(item) else []:
-            i = int(item[0])
-            item = item[len(at) :]
+        for i, place in items.postings.of(own[run - lo]):
+            at = run[place] - lo
             if weights[at].sum() < items.least[i]:
                 continue
             held = np.zeros(len(own) + 1, np.int64)
@@ -202,15 +206,13 @@ def _finder(blocks: list[Block], names: list[str]):
                 for block, (mask, bitmap) in zip(blocks, bitmaps, strict=True):
                     at, grams = shingles(w, block.k)
                     maybe = np.flatnonzero(bitmap[(grams & mask).astype(np.int64)])
-                    place = block.weights.find(grams[maybe])
-                    maybe, place = maybe[place >= 0], place[place >= 0]
+                    maybe = maybe[block.weights.find(grams[maybe]) >= 0]
                     doc = w.doc[at[maybe]]
                     for d in np.unique(doc).tolist():
                         first, last = (int(np.searchsorted(at, w.first[x])) for x in (d, d + 1))
                         mine = slice(int(np.searchsorted(doc, d)), int(np.searchsorted(doc, d, "right")))
-                        leads = block.leads[place[mine]]
-                        for g in np.flatnonzero(leads.any(0)).tolist():
-                            for item, start, size, sim, distance in windows_near(block.groups[g], grams[first:last], maybe[mine][leads[:, g]] - first):
+                        for g, place in block.leads.of(grams[maybe[mine]]):
+                            for item, start, size, sim, distance in windows_near(block.groups[g], grams[first:last], maybe[mine][place] - first):
                                 rows.append(lo + d)
                                 out.append((item, start, size + block.k - 1, sim, distance))
             ids = batch.column(0).take(pa.array(rows, pa.int64()))

@@ -31,12 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sievewright.llm._common import release, stored
-from sievewright.llm._words import powers, slices
+from sievewright.llm._words import packed, powers, slices, unpacked
 
 LENGTH = 50
 GRAM = 18
@@ -106,26 +105,18 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - np.concatenate((np.zeros(1, np.int64), np.cumsum(sizes)[:-1])), sizes)
 
 
-def _packed(data: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(data.tobytes())
-
-
-def _unpacked(data: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data.as_buffer()), np.uint8)
-
-
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, hi, data, offsets in slices(batch.column(1), SLICE_BYTES):
             ids = batch.column(0).slice(lo, hi - lo)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([_packed(data)], pa.binary())], ["ids", "offsets", "data"]
+                [pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([offsets.tobytes()], pa.binary()), pa.array([packed(data)], pa.binary())], ["ids", "offsets", "data"]
             )
 
 
 def _arrays(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ids = batch.column("ids")[row].as_py()
-    data = _unpacked(batch.column("data")[row])
+    data = unpacked(batch.column("data")[row].as_buffer())
     offsets = np.frombuffer(batch.column("offsets")[row].as_buffer(), np.int64)
     return np.array([_LAST if i is None else i for i in ids], np.int64), data, offsets
 
@@ -230,7 +221,7 @@ def _context(buckets: int):
                     rows[0].append(lo[x:y].astype(np.uint32).tobytes())
                     rows[1].append((hi - lo)[x:y].astype(np.uint8).tobytes())
                     rows[2].append(own[x:y].tobytes())
-                    rows[3].append(_packed(data[_ranges(lo[x:y], (hi - lo)[x:y] + LENGTH - 1)]))
+                    rows[3].append(packed(data[_ranges(lo[x:y], (hi - lo)[x:y] + LENGTH - 1)]))
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(np.full(len(used), number), pa.int64()), *(pa.array(r, pa.binary()) for r in rows)], names)
 
     return context
@@ -275,7 +266,7 @@ def _answer(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     if key[0].as_py() < 0:  # answered within the slice
         return table.select(["slice", "starts", "counts"])
     rows = [[np.frombuffer(x.as_buffer(), kind) for x in table.column(c)] for c, kind in (("starts", np.uint32), ("counts", np.uint8), ("ids", np.int64))]
-    rows.append([_unpacked(x) for x in table.column("bytes")])
+    rows.append([unpacked(x.as_buffer()) for x in table.column("bytes")])
     data = np.concatenate(rows[3])
     counts = np.concatenate(rows[1]).astype(np.int64)
     begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts + LENGTH - 1)[:-1]))
@@ -333,8 +324,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: ``doc_id, n_bytes, spans`` (removed bytes, ``start`` to ``end``), ``kept`` (the remaining bytes)."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    packed = rows.mapInArrow(_pack, "ids array<long>, offsets binary, data binary")
-    parts = stored(packed.withColumn("slice", F.monotonically_increasing_id()), "suffix-slices")
+    bound = rows.mapInArrow(_pack, "ids array<long>, offsets binary, data binary")
+    parts = stored(bound.withColumn("slice", F.monotonically_increasing_id()), "suffix-slices")
     buckets = max(MIN_BUCKETS, parts.count() * SLICE_BYTES // BUCKET_BYTES)
 
     named = parts.select("slice", "ids", "offsets", "data").mapInArrow(_name(buckets), "bucket long, slice long, low binary, high binary")
