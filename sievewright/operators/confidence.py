@@ -96,3 +96,8 @@ def evaluate(queries: DataFrame, top: DataFrame, mode: str, lexical_hits: DataFr
     ), lambda e: e["v"].isNotNull())
     status = F.when((F.size(gates) > 0) | low, "insufficient_evidence").otherwise("success")
     return rows.select("query_id", F.round("raw", 4).alias("confidence"), status.alias("status"), F.map_from_entries(F.when(F.col("empty"), F.filter(every, lambda e: F.lit(False))).otherwise(every)).alias("signals"), reasons.alias("reasons"), gates.alias("gates"))
+
+
+def visible(results: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Results of the queries that succeeded; evidence of the others is hidden."""
+    return results.join(outcomes.where("status = 'success'").select("query_id"), "query_id", "left_semi")

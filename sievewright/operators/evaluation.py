@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+import json
+import subprocess
+from pathlib import Path
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievewright.functions.text import collapsed
+from sievewright.sources.shared import stored
+
+
+#: Strings to look up, of which so many at most are broadcast.
+MAX_BROADCAST_NEEDLES = 100_000
 
 
 class EvaluationError(ValueError):
@@ -16,6 +25,8 @@ class EvaluationError(ValueError):
 def relevance(queries: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """``query_id, chunk_id`` of chunks that hold an evidence string of the query, from one of its sources.
 
+    Evidence strings meet the chunks by a word of theirs (see ``holding``).
+
     ``queries`` has ``query_id, answerable, relevant_sources, evidence,
     relevant_chunk_ids``.  A chunk is compared only with the evidence of queries
     that name its document's file; a query without sources is compared with all.
@@ -27,7 +38,7 @@ def relevance(queries: DataFrame, chunks: DataFrame, documents: DataFrame) -> Da
     found = sourced.join(texts, "filename").where(F.contains("hay", "needle")).select("query_id", "needle", "chunk_id")
     free = wanted.where(F.size("relevant_sources") == 0).select("query_id", "needle")
     if not free.isEmpty():
-        found = found.unionByName(texts.join(free, F.contains("hay", "needle")).select("query_id", "needle", "chunk_id"))
+        found = found.unionByName(holding(texts, free).select("query_id", "needle", "chunk_id"))
     lost = wanted.select("query_id", "needle").distinct().join(found, ["query_id", "needle"], "left_anti").limit(5).collect()
     if lost:
         raise EvaluationError(f"no chunk holds the evidence of {[(r['query_id'], r['needle'][:60]) for r in lost]}")
@@ -35,6 +46,30 @@ def relevance(queries: DataFrame, chunks: DataFrame, documents: DataFrame) -> Da
     return found.select("query_id", "chunk_id").unionByName(given).distinct()
 
 
+def holding(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """``query_id, needle, chunk_id`` of ``texts (chunk_id, hay)`` that hold a string of ``needles (query_id, needle)``; both collapsed.
+
+    A word of the string with a space on either side must be a word of the text.
+    The longest such word is looked up, and only texts that have it are
+    searched.  Strings of one or two words have none and meet every text.
+    """
+    inner = F.slice(F.split("needle", " "), 2, F.greatest(F.size(F.split("needle", " ")) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = stored(needles.select("query_id", "needle", longest.alias("_anchor")), "needles")
+    rows = stored(texts.select("chunk_id", "hay"), "texts")
+    words = rows.select("chunk_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("_anchor"))
+    anchors = keyed.where("_anchor is not null")
+    few = anchors.select("_anchor").distinct()
+    few = F.broadcast(few) if few.count() <= MAX_BROADCAST_NEEDLES else few
+    places = stored(words.join(few, "_anchor", "left_semi"), "places")
+    pairs = places.join(anchors, "_anchor").select("query_id", "needle", "chunk_id").join(rows, "chunk_id").where(F.contains("hay", "needle"))
+    short = keyed.where("_anchor is null").select("query_id", "needle")
+    if short.isEmpty():
+        return pairs.select("query_id", "needle", "chunk_id")
+    every = rows.join(F.broadcast(short) if short.count() <= MAX_BROADCAST_NEEDLES else short, F.contains("hay", "needle"))  # strings of a stated query set
+    return pairs.select("query_id", "needle", "chunk_id").unionByName(every.select("query_id", "needle", "chunk_id"))
+
+
 def rank_metrics(queries: DataFrame, results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), ndcg_k: int = 10) -> DataFrame:
     """Per query: ``n_relevant, first_rank, rr, recall_<k>, hit_<k>, ndcg``.
 
@@ -138,6 +173,22 @@ def compared(runs: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def provenance(folder: str | None = None) -> tuple[str | None, bool | None]:
+    """The commit that results come from, and whether the tree differs from it; no commit is named for a tree that does, nor outside a repository."""
+    at = folder or str(Path(__file__).resolve().parents[2])
+    git = lambda *args: subprocess.run(["git", "-C", at, *args], capture_output=True, text=True, check=True, timeout=10).stdout.strip()
+    try:
+        dirty = bool(git("status", "--porcelain"))
+        return (None if dirty else git("rev-parse", "--short", "HEAD")), dirty
+    except (OSError, subprocess.SubprocessError):
+        return None, None
+
+
+def as_json(frames: dict[str, DataFrame]) -> str:
+    """Small summaries by name as JSON."""
+    return json.dumps({name: [r.asDict(recursive=True) for r in df.collect()] for name, df in frames.items()}, ensure_ascii=False, indent=2, default=str)
+
+
 def markdown(summary: DataFrame, title: str) -> str:
     """A small summary as a Markdown table."""
     rows = summary.collect()

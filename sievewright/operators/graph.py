@@ -65,9 +65,53 @@ def edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:
     )
 
 
+def neighborhoods(edge_table: DataFrame, k: int = 12) -> DataFrame:
+    """The strongest ``k`` neighbours of every entity; weights equal to nine places tie by the neighbour's id."""
+    order = Window.partitionBy("src").orderBy(F.round("weight", 9).desc(), "dst")
+    return edge_table.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k).drop("_nth")
+
+
 def neighborhood(edge_table: DataFrame, entity_id: str, k: int = 12) -> DataFrame:
     """The strongest ``k`` neighbours of one entity."""
-    return edge_table.where(F.col("src") == entity_id).orderBy(F.col("weight").desc(), "dst").limit(k)
+    return neighborhoods(edge_table.where(F.col("src") == entity_id), k)
+
+
+def listed_edges(edge_table: DataFrame, min_weight: float = 0.0, limit: int | None = 200) -> DataFrame:
+    """Every edge once, from a weight on, the strongest first."""
+    rows = edge_table.where((F.col("src") < F.col("dst")) & (F.col("weight") >= min_weight)).orderBy(F.col("weight").desc(), "src", "dst")
+    return rows if limit is None else rows.limit(limit)
+
+
+def listed_entities(entities: DataFrame, kind: str | None = None, contains: str | None = None, limit: int | None = 100) -> DataFrame:
+    """Entities of a type whose name or alias holds a string, in any case; the most mentioned first."""
+    rows = entities if kind is None else entities.where(F.col("entity_type") == kind)
+    if contains:
+        holds = lambda name: F.contains(F.lower(name), F.lit(contains.lower()))
+        rows = rows.where(holds(F.col("canonical_name")) | F.coalesce(F.exists("aliases", holds), F.lit(False)))
+    rows = rows.orderBy(F.col("mention_count").desc(), "canonical_name")
+    return rows if limit is None else rows.limit(limit)
+
+
+def context(text, start, end, width: int = 80):
+    """What stands around ``start`` to ``end`` of a text, on one line, with marks where it is cut."""
+    first = F.greatest(start - width, F.lit(0))
+    body = F.replace(F.substring(text, first + 1, end + width - first), F.lit("\n"), F.lit(" "))
+    return F.concat(F.when(start > width, "…").otherwise(""), body, F.when(F.length(text) > end + width, "…").otherwise(""))
+
+
+def in_context(mentions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``mention_id, chunk_id, document_id, surface, context``."""
+    rows = mentions.join(chunks.select("chunk_id", "text"), "chunk_id")
+    return rows.select("mention_id", "chunk_id", "document_id", "surface", context(F.col("text"), F.col("char_start"), F.col("char_end")).alias("context"))
+
+
+def named_relationships(relationships: DataFrame, entities: DataFrame) -> DataFrame:
+    """Relationships with the names of both ends; ``?`` for entities that are not there."""
+    out = relationships
+    for side in ("source", "target"):
+        names = entities.select(F.col("entity_id").alias(f"{side}_entity_id"), F.col("canonical_name").alias(f"{side}_name"))
+        out = out.join(names, f"{side}_entity_id", "left").withColumn(f"{side}_name", F.coalesce(f"{side}_name", F.lit("?")))
+    return out
 
 
 def chunk_entities(mentions: DataFrame, entities: DataFrame) -> DataFrame:

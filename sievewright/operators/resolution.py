@@ -245,6 +245,12 @@ def entities(groups: DataFrame, clusters: DataFrame) -> tuple[DataFrame, DataFra
     return table, rows.select("gid", "cluster").join(out.select("cluster", "entity_id"), "cluster").select("gid", "entity_id")
 
 
+def counted(assignments: DataFrame, mentions: DataFrame) -> DataFrame:
+    """``entity_id, mention_count, document_count, seen`` (its surfaces)."""
+    held = assignments.join(mentions.select("mention_id", "document_id", "surface"), "mention_id")
+    return held.groupBy("entity_id").agg(F.count(F.lit(1)).alias("mention_count"), F.count_distinct("document_id").alias("document_count"), F.collect_set("surface").alias("seen"))
+
+
 def resolve(mentions: DataFrame, chunks: DataFrame | None = None, s: Resolution = Resolution()) -> dict[str, DataFrame]:
     """``mentions (mention_id, chunk_id, document_id, surface, entity_type, confidence)`` to entities.
 
@@ -263,10 +269,7 @@ def resolve(mentions: DataFrame, chunks: DataFrame | None = None, s: Resolution
     grouped = free.withColumn("tokens", nm.tokens_udf("surface", "kind")).where(F.size("tokens") > 0).select("mention_id", _gid().alias("gid"))
     assignments = grouped.unionByName(coref).join(of_group, "gid").select("mention_id", "entity_id")
     assignments = cut(assignments)
-    held = assignments.join(typed.select("mention_id", "document_id", "surface"), "mention_id").groupBy("entity_id").agg(
-        F.count(F.lit(1)).alias("mention_count"), F.count_distinct("document_id").alias("document_count"), F.collect_set("surface").alias("seen")
-    )
-    table = table.join(held, "entity_id").withColumn("aliases", F.array_sort(F.array_except(F.array_union("aliases", "seen"), F.array("canonical_name")))).drop("seen")
+    table = table.join(counted(assignments, typed), "entity_id").withColumn("aliases", F.array_sort(F.array_except(F.array_union("aliases", "seen"), F.array("canonical_name")))).drop("seen")
     band = scored.where(F.col("score").between(0.2, s.auto_merge) & (F.col("score") < s.auto_merge))
     kept = band.select("left", "right", F.col("kind").alias("entity_type"), F.round("score", 4).alias("score"), F.when(F.col("score") >= s.candidate, "ambiguous").otherwise("distinct").alias("decision"), "features", F.when(F.col("score") >= s.candidate, "score between the thresholds; kept apart").otherwise("score too low").alias("reason"))
     merged = scored.join(tried, ["a", "b"]).select("left", "right", F.col("kind").alias("entity_type"), F.round("score", 4).alias("score"), "decision", "features", F.when(F.col("decision") == "merge", "score above the threshold").otherwise("the merge would join names that exclude each other").alias("reason"))

@@ -53,9 +53,14 @@ class Engine:
         rows = cut(ingest.parsed(files, self.s, read_pdf))
         fresh = cut(ingest.without_known(rows, self.store.read("documents")))
         chunks = cut(ingest.chunks_of(fresh, self.embedder))
-        self.store.append("documents", ingest.documents_of(fresh))
-        self.store.append("chunks", chunks)
-        self.store.append("mentions", extraction.mentions(chunks, self.extractors).withColumn("entity_id", F.lit(None).cast("string")))
+        self.store.append_all(
+            {
+                "documents": ingest.documents_of(fresh),
+                "chunks": chunks,
+                "mentions": extraction.mentions(chunks, self.extractors).withColumn("entity_id", F.lit(None).cast("string")),
+                "postings": lexical.postings(chunks, stem=self.s.use_stems),
+            }
+        )
         self.refresh_statistics()
         if rebuild:
             self.rebuild_entities()
@@ -68,13 +73,26 @@ class Engine:
     def ingest_directory(self, path: str, **options) -> DataFrame:
         return self.ingest(ingest.read_directory(self.spark, path), **options)
 
+    def bootstrap(self, path: str, **options) -> bool:
+        """Ingests a folder if the index is empty; tells whether it did."""
+        if not self.store.read("documents").isEmpty():
+            return False
+        self.ingest_directory(path, **options)
+        return True
+
     def refresh_statistics(self) -> None:
-        """The inverted index and its aggregates from the chunks."""
-        chunks = self.store.read("chunks")
-        self.store.replace("postings", lexical.postings(chunks, stem=self.s.use_stems))
-        post = self.store.read("postings")
-        self.store.replace("term_stats", lexical.term_stats(post))
-        self.store.replace("corpus_stats", lexical.corpus_stats(chunks, post))
+        """The aggregates of the inverted index; postings come and go with their chunks."""
+        chunks, post = self.store.read("chunks"), self.store.read("postings")
+        self.store.replace_all({"term_stats": lexical.term_stats(post), "corpus_stats": lexical.corpus_stats(chunks, post)})
+
+    def documents(self, limit: int = 100) -> DataFrame:
+        """The newest documents, without their texts."""
+        return self.store.read("documents").drop("text").orderBy(F.col("created_at").desc(), "document_id").limit(limit)
+
+    def document(self, document_id: str) -> dict[str, DataFrame]:
+        """A document and its chunks in order, without their vectors."""
+        own = F.col("document_id") == document_id
+        return {"document": self.store.read("documents").where(own), "chunks": self.store.read("chunks").where(own).drop("embedding").orderBy("chunk_index")}
 
     def delete(self, document_ids: DataFrame) -> None:
         self.store.delete_documents(document_ids)
@@ -98,46 +116,27 @@ class Engine:
         header = cut(header_mentions(chunks, graph.alias_index(entities), entities)) if self.s.entity_retrieval.header_context else None
         related = cut(relations.relationships(chunks, placed, entities, header))
         decisions = cut(found["decisions"])
-        self.store.replace("mentions", placed if header is None else placed.unionByName(header))
-        self.store.replace("entities", entities)
-        self.store.replace("relationships", related)
-        self.store.replace("decisions", decisions)
+        self.store.replace_all({"mentions": placed if header is None else placed.unionByName(header), "entities": entities, "relationships": related, "decisions": decisions})
 
     def resolve(self, mentions: DataFrame) -> dict[str, DataFrame]:
         """Resolution of given mentions alone, without touching the tables."""
         return resolution.resolve(mentions, None, self.s.resolution)
 
     def entity_list(self, kind: str | None = None, contains: str | None = None, limit: int = 100) -> DataFrame:
-        rows = self.store.read("entities")
-        if kind is not None:
-            rows = rows.where(F.col("entity_type") == kind)
-        if contains:
-            q = contains.lower()
-            rows = rows.where(F.contains(F.lower("canonical_name"), F.lit(q)) | F.exists("aliases", lambda a: F.contains(F.lower(a), F.lit(q))))
-        return rows.orderBy(F.col("mention_count").desc(), "canonical_name").limit(limit)
+        return graph.listed_entities(self.store.read("entities"), kind, contains, limit)
 
     def entity_graph(self, min_weight: float = 0.0, limit: int = 200) -> DataFrame:
-        table = graph.edges(self.store.read("relationships"), self.store.read("entities"))
-        return table.where((F.col("src") < F.col("dst")) & (F.col("weight") >= min_weight)).orderBy(F.col("weight").desc(), "src", "dst").limit(limit)
+        return graph.listed_edges(graph.edges(self.store.read("relationships"), self.store.read("entities")), min_weight, limit)
 
     def entity_detail(self, entity_id: str, limit: int = 200) -> dict[str, DataFrame]:
         """The entity, its mentions with what stands around them, and its relationships with names."""
-        chunks = self.store.read("chunks").select("chunk_id", "text")
-        around = F.concat(
-            F.when(F.col("char_start") > 80, "…").otherwise(""),
-            F.replace(F.substring("text", F.greatest(F.col("char_start") - 79, F.lit(1)), F.col("char_end") + 80 - F.greatest(F.col("char_start") - 80, F.lit(0))), F.lit("\n"), F.lit(" ")),
-            F.when(F.length("text") > F.col("char_end") + 80, "…").otherwise(""),
-        )
-        entities = self.store.read("entities")
-        names = lambda side: entities.select(F.col("entity_id").alias(f"{side}_entity_id"), F.col("canonical_name").alias(f"{side}_name"))
-        mentions = self.store.read("mentions").where(F.col("entity_id") == entity_id).join(chunks, "chunk_id").select("mention_id", "chunk_id", "document_id", "surface", around.alias("context"))
+        entities, own = self.store.read("entities"), F.col("entity_id") == entity_id
         related = self.store.read("relationships").where((F.col("source_entity_id") == entity_id) | (F.col("target_entity_id") == entity_id))
-        related = related.join(names("source"), "source_entity_id", "left").join(names("target"), "target_entity_id", "left")
-        related = related.withColumn("source_name", F.coalesce("source_name", F.lit("?"))).withColumn("target_name", F.coalesce("target_name", F.lit("?")))
+        mentions = graph.in_context(self.store.read("mentions").where(own), self.store.read("chunks"))
         return {
-            "entity": entities.where(F.col("entity_id") == entity_id),
+            "entity": entities.where(own),
             "mentions": mentions.orderBy("document_id", "chunk_id", "mention_id").limit(limit),
-            "relationships": related.orderBy(F.col("confidence").desc(), "relationship_type").limit(limit),
+            "relationships": graph.named_relationships(related, entities).orderBy(F.col("confidence").desc(), "relationship_type").limit(limit),
         }
 
     # Search
@@ -225,7 +224,7 @@ class Engine:
 
     def visible(self, found: Outcome, show_evidence: bool = False) -> DataFrame:
         """Results of queries that succeeded; of all if asked for."""
-        return found.results if show_evidence else found.results.join(found.outcomes.where("status = 'success'").select("query_id"), "query_id", "left_semi")
+        return found.results if show_evidence else confidence.visible(found.results, found.outcomes)
 
     def answer(self, queries: DataFrame, generator: generation.Generator | None = None, **options) -> DataFrame:
         found = self.search(queries, **options)
@@ -246,7 +245,7 @@ class Engine:
             per_query = per_query.unionByName(p)
         per_query = cut(per_query.withColumn("abstained", F.col("status") != "success"))
         names = ("rr", "ndcg", *(f"recall_{k}" for k in ks), *(f"hit_{k}" for k in ks))
-        return {"per_query": per_query, "summary": evaluation.rolled_up(per_query.where("answerable"), names), "abstention": evaluation.abstention(per_query, ("mode",)), "sweep": evaluation.threshold_sweep(per_query.withColumn("gated", F.lit(False)))}
+        return {"provenance": self.spark.createDataFrame([evaluation.provenance()], "commit string, dirty boolean"), "per_query": per_query, "summary": evaluation.rolled_up(per_query.where("answerable"), names), "abstention": evaluation.abstention(per_query, ("mode",)), "sweep": evaluation.threshold_sweep(per_query.withColumn("gated", F.lit(False)))}
 
     def health(self) -> dict[str, int]:
         return {r["name"]: r["n"] for r in self.store.counts().collect()}

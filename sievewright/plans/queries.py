@@ -56,7 +56,7 @@ def lexical_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     rows = chunks(spark, sf_dir)
     post = cut(lexical.postings(rows, stem=False))
     terms = cut(lexical.query_terms(questions(spark, sf_dir), stem=False))
-    return rows, post, lexical.term_stats(post), lexical.corpus_stats(rows, post), terms
+    return rows, post, lexical.term_stats(post, terms), lexical.corpus_stats(rows, post), terms
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(tx.STOPWORDS))
@@ -107,8 +107,7 @@ def ranked_stably(scores: DataFrame, k: int) -> DataFrame:
 
 @query(_INDEX + " SELECT term, df, (SELECT sum(tf) FROM post p WHERE p.term = s.term)::BIGINT AS cf FROM stats s")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    post = lexical.postings(chunks(spark, sf_dir), stem=False)
-    return post.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return lexical.term_stats(lexical.postings(chunks(spark, sf_dir), stem=False))
 
 
 @query(_INDEX + " SELECT n AS n_docs, round(avgdl, 6) AS avgdl FROM corpus")
