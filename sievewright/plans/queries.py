@@ -12,11 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sievewright.config import EntityRetrieval, Weights
 from sievewright.functions import text as tx
-from sievewright.functions.names import jaro_winkler_udf
 from sievewright.functions.vectors import cosine, dot, l2_normalized
 from sievewright.operators import evaluation, fusion, graph, lexical
 from sievewright.sources import ingest
@@ -332,45 +330,15 @@ def components_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_EDGES + """, best AS (SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS nth FROM edges)
-SELECT src, dst, round(weight, 6) AS weight FROM best WHERE nth <= 12 AND src LIKE 's%'""")
+SELECT src, dst, round(weight, 6) AS weight FROM best WHERE nth <= 12""")
 def strongest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     entities, rows = supply(spark, sf_dir)
-    order = Window.partitionBy("src").orderBy(F.round("weight", 9).desc(), "dst")
-    edges = graph.edges(rows, entities).where(F.col("src").startswith("s"))
-    return edges.withColumn("nth", F.row_number().over(order)).where("nth <= 12").select("src", "dst", F.round("weight", 6).alias("weight"))
+    return graph.neighborhoods(graph.edges(rows, entities), 12).select("src", "dst", F.round("weight", 6).alias("weight"))
 
 
 # Names
 
 
-@query("""
-WITH names AS (SELECT min(p_partkey) AS id, lower(p_name) AS name, string_split(lower(p_name), ' ') AS w FROM part GROUP BY lower(p_name)),
-keys AS (SELECT id, name, unnest(list_distinct(w)) AS key FROM names),
-useful AS (SELECT key FROM keys GROUP BY key HAVING count(*) BETWEEN 2 AND 200),
-pairs AS (SELECT DISTINCT a.id AS a, b.id AS b, a.name AS na, b.name AS nb FROM keys a JOIN keys b ON a.key = b.key AND a.id < b.id WHERE a.key IN (SELECT key FROM useful))
-SELECT a, b, round(jaro_winkler_similarity(na, nb), 5) AS similarity FROM pairs""")
-def blocked_name_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of equal names that share a word, with their similarity."""
-    names = table(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("name")).agg(F.min("p_partkey").alias("id")).select("id", "name")
-    keys = names.select("id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("key"))
-    useful = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n between 2 and 200").select("key")
-    kept = keys.join(useful, "key")
-    pairs = kept.toDF("key", "a", "na").join(kept.toDF("key", "b", "nb"), "key").where("a < b").select("a", "b", "na", "nb").distinct()
-    return pairs.select("a", "b", F.round(jaro_winkler_udf("na", "nb"), 5).alias("similarity"))
-
-
-@query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), '7') OR contains(lower(c_mktsegment), 'mach')")
-def substring_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "customer")
-    return rows.where(F.contains(F.lower("c_name"), F.lit("7")) | F.contains(F.lower("c_mktsegment"), F.lit("mach"))).select("c_custkey", "c_name", "c_mktsegment")
-
-
-@query("SELECT l_shipmode_kind AS kind, count(*) AS mentions, count(DISTINCT l_orderkey) AS documents FROM (SELECT l_orderkey, l_returnflag || l_linestatus AS l_shipmode_kind FROM lineitem) GROUP BY 1")
-def entity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.concat("l_returnflag", "l_linestatus").alias("kind"))
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("mentions"), F.count_distinct("l_orderkey").alias("documents"))
-
-
 # Documents
 
 
@@ -380,13 +348,6 @@ def document_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", ingest.document_id(F.col("filename"), F.col("content_hash")).alias("document_id"), "content_hash", ingest.source_type(F.col("filename")).alias("source_type"))
 
 
-@query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS nth FROM documents) WHERE nth > 1")
-def duplicate_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    first = rows.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
-    return rows.join(first, ["content_hash", "doc_id"], "left_anti").select("doc_id")
-
-
 @query("""
 WITH d AS (SELECT doc_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS hay FROM documents),
 b AS (SELECT item_id, lower(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS needle FROM benchmark)
@@ -395,25 +356,7 @@ def evidence_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks that hold an item's text; the items are a stated query set against all rows."""
     needles = questions(spark, sf_dir).select("query_id", tx.collapsed(F.col("query")).alias("needle"))
     hay = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), tx.collapsed(F.col("text")).alias("hay"))
-    return hay.join(fusion.small_or_shuffled(needles), F.contains("hay", "needle")).select("query_id", "chunk_id")
-
-
-@query("SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chunk_index, length(text) AS n_chars FROM conversations")
-def record_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    return rows.select("conv_id", "turn", "role", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1).alias("chunk_index"), F.length("text").alias("n_chars"))
-
-
-@query("""
-WITH t AS (SELECT 'documents' AS name, count(*) AS n FROM documents UNION ALL SELECT 'pages', count(*) FROM pages UNION ALL SELECT 'benchmark', count(*) FROM benchmark
-  UNION ALL SELECT 'labels', count(*) FROM labels UNION ALL SELECT 'conversations', count(*) FROM conversations) SELECT * FROM t""")
-def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ("documents", "pages", "benchmark", "labels", "conversations")
-    parts = [table(spark, sf_dir, n).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n")) for n in names]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return evaluation.holding(hay, needles).select("query_id", "chunk_id")
 
 
 @query("""
@@ -421,9 +364,7 @@ SELECT doc_id, CASE WHEN p > 81 THEN '…' ELSE '' END || replace(substr(text, g
 FROM (SELECT doc_id, text, strpos(text, '. ') AS p FROM documents) WHERE p > 0""")
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", "text", F.instr("text", ". ").alias("p")).where("p > 0")
-    start = F.greatest(F.col("p") - 80, F.lit(1))
-    body = F.replace(F.substring("text", start, F.col("p") + 82 - start), F.lit("\n"), F.lit(" "))
-    return rows.select("doc_id", F.concat(F.when(F.col("p") > 81, "…").otherwise(""), body, F.when(F.length("text") > F.col("p") + 81, "…").otherwise("")).alias("snippet"))
+    return rows.select("doc_id", graph.context(F.col("text"), F.col("p") - 1, F.col("p") + 1).alias("snippet"))
 
 
 # Evaluation

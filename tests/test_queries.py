@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from sievewright.plans import entity_queries  # noqa: F401
 from sievewright.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
