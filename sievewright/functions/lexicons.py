@@ -102,3 +102,15 @@ TYPE_HINTS = {
     "LOCATION": "where city country office located based depot site",
     "EVENT": "event conference summit offsite meeting talk session",
 }
+
+# Abbreviations that a statistical recognizer takes for names, its labels by type of entity, and dates that name no day.
+ACRONYMS = frozenset(
+    "API APIS GPU GPUS CPU CPUS TPU RAM GB MB TB KB SLA SLO SLI SRE TLS SSL PDF CSV JSON XML HTML HTTP "
+    "HTTPS URL URI SQL EHR EMR PHI PII HIPAA GDPR SOC ML AI LLM NLP UI UX QA CI CD PR KPI OKR HR IT ID "
+    "SDK ORM VM OS SSO MFA RBAC SIEM REST RPC CEO CTO CFO COO VP PM EM IC SEV ETA FAQ MVP POC RFC ADR".split()
+)
+RECOGNIZER_LABELS = {"PERSON": "PERSON", "ORG": "ORGANIZATION", "GPE": "LOCATION", "LOC": "LOCATION", "FAC": "LOCATION", "DATE": "DATE", "EVENT": "EVENT"}
+RELATIVE_DATE = (
+    r"^(?:today|yesterday|tomorrow|now|daily|weekly|monthly|annually|quarterly|(?:this|last|next|each|every|the)\b.*|"
+    r"\d+\s+(?:days?|weeks?|months?|years?).*|(?:a|one|two|three|four|five|six)\s+(?:days?|weeks?|months?|years?).*)$"
+)

@@ -72,14 +72,44 @@ class HashingEmbedder:
         return np.divide(out, size, out=out, where=size > 0)
 
 
+def verify_file(path: str, sha256: str | None) -> None:
+    """An error if the file does not have the hash; none is asked for without one."""
+    if sha256 is not None:
+        with open(path, "rb") as f:
+            found = hashlib.file_digest(f, "sha256").hexdigest()
+        if found != sha256.lower():
+            raise ValueError(f"{path} has the hash {found}, not {sha256}")
+
+
+class SentenceTransformerEmbedder:
+    """A sentence-transformers model by name, loaded once a worker; needs the library."""
+
+    def __init__(self, model: str = "all-MiniLM-L6-v2", dim: int = DIM, batch: int = 32):
+        self.model, self.dim, self.batch, self._loaded = model, dim, batch, None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_loaded": None}
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        if not texts:
+            return np.zeros((0, self.dim), np.float32)
+        if self._loaded is None:
+            from sentence_transformers import SentenceTransformer
+
+            self._loaded = SentenceTransformer(self.model)
+        return np.asarray(self._loaded.encode(texts, batch_size=self.batch, normalize_embeddings=True, convert_to_numpy=True), np.float32)
+
+
 class OnnxEmbedder:
     """A sentence encoder in ONNX form: masked mean of the token states, unit length.
 
     The model and tokenizer files are the user's; they are loaded once a worker.
+    With ``sha256``, a model file of another hash is refused.
     """
 
-    def __init__(self, model_path: str, tokenizer_path: str, dim: int = DIM, max_tokens: int = 256, batch: int = 32):
+    def __init__(self, model_path: str, tokenizer_path: str, dim: int = DIM, max_tokens: int = 256, batch: int = 32, sha256: str | None = None):
         self.model_path, self.tokenizer_path, self.dim, self.max_tokens, self.batch = model_path, tokenizer_path, dim, max_tokens, batch
+        self.sha256 = sha256
         self._loaded = None
 
     def __getstate__(self):
@@ -87,6 +117,7 @@ class OnnxEmbedder:
 
     def _load(self):
         if self._loaded is None:
+            verify_file(self.model_path, self.sha256)
             import onnxruntime
             from tokenizers import Tokenizer
 
@@ -121,3 +152,11 @@ def embedded(embedder: Embedder, text: Column) -> Column:
     return run(text)
 
 
+
+
+def embedder_by_name(name: str, **options) -> Embedder:
+    """``hashing``, ``onnx`` or ``sentence-transformers``, with the options of its class."""
+    kinds = {"hashing": HashingEmbedder, "onnx": OnnxEmbedder, "sentence-transformers": SentenceTransformerEmbedder}
+    if name not in kinds:
+        raise ValueError(f"unknown embedder {name!r}; there are {sorted(kinds)}")
+    return kinds[name](**options)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sievewright.functions.lexicons import CITIES, LEADING, NO_NAME, ORG_HEADS, TECHNOLOGIES
+from sievewright.functions.lexicons import ACRONYMS, CITIES, LEADING, NO_NAME, ORG_HEADS, RECOGNIZER_LABELS, RELATIVE_DATE, TECHNOLOGIES
 
 MENTION = "surface string, entity_type string, char_start int, char_end int, extractor string, confidence double"
 
@@ -74,26 +74,122 @@ RULES = tuple(
 )
 
 
+#: Words in front of a name that are no part of it.
+_LEAD = re.compile(rf"(?:{_any_of(LEADING)}\s)*")
+#: What the words of a surface must be like, by type.
+_ACCEPTED = {
+    "PROJECT": lambda words: words[-1] not in NO_NAME,
+    "PERSON": lambda words: words[-1] not in LEADING,
+    "ORGANIZATION": lambda words: len(words) > 1,
+    "EVENT": lambda words: len(words) > 1,
+}
+_LED = ("ORGANIZATION", "EVENT", "PERSON")
+
+
 class RuleExtractor:
     """Patterns over one text, each with a confidence and a priority."""
 
+    def spans(self, text: str) -> list[Span]:
+        hits = ((kind, confidence, priority, m.span(group)) for kind, confidence, priority, group, pattern in RULES for m in pattern.finditer(text))
+        placed = ((kind, confidence, priority, *_trimmed(text, *place, kind in _LED, kind != "TECHNOLOGY")) for kind, confidence, priority, place in hits)
+        return [
+            Span(text[start:end], kind, start, end, "rules", confidence, priority)
+            for kind, confidence, priority, start, end in placed
+            if start < end and _ACCEPTED.get(kind, bool)(text[start:end].split())
+        ]
+
+
+def _trimmed(text: str, start: int, end: int, led: bool, loose: bool) -> tuple[int, int]:
+    """The place of a name without white space and closing marks around it, and without the words that lead to it."""
+    body = text[start:end]
+    if loose:
+        end = start + len(body.rstrip().rstrip(".,;"))
+        start += len(body) - len(body.lstrip())
+    if led:
+        start = _LEAD.match(text, start, end).end()
+    return start, end
+
+
+#: Finds ``(start, end, label)`` in a paragraph.
+Recognizer = Callable[[str], Iterable[tuple[int, int, str]]]
+
+
+class StatisticalExtractor:
+    """Spans of a trained recognizer, cleaned.
+
+    Paragraphs are read one by one, without headings, which mislead small models.
+    Articles, possessives and closing marks are cut off; of a span over several
+    lines the longest stays.  Left out are labels without a type, acronyms,
+    names without a capital, single words that open a line (ordinary words,
+    mostly; names among them are found as known names), and relative dates.
+    """
+
+    CONFIDENCE, PRIORITY = 0.6, 50
+    _PARAGRAPH = re.compile(r"(?:^(?!#{1,6}\s)[^\n]*\S[^\n]*(?:\n|\Z))+", re.MULTILINE)
+    _OPENS_LINE = re.compile(r"(?:^|.*:|[-*])\s*$")
+
+    def __init__(self, recognize: Recognizer, name: str = "model"):
+        self.recognize, self.name = recognize, name
+
     def spans(self, text: str) -> list[Span]:
         out = []
-        for kind, confidence, priority, group, pattern in RULES:
-            for m in pattern.finditer(text):
-                surface, start = m[group], m.start(group)
-                if kind != "TECHNOLOGY":
-                    surface = surface.strip().rstrip(".,;")
-                if kind in ("ORGANIZATION", "EVENT", "PERSON"):
-                    while " " in surface and surface.split(" ", 1)[0] in LEADING:
-                        start += surface.index(" ") + 1
-                        surface = surface.split(" ", 1)[1]
-                words = surface.split()
-                no_name = {"PROJECT": NO_NAME, "PERSON": LEADING}.get(kind, ())
-                if words and words[-1] not in no_name and (len(words) > 1 or kind not in ("ORGANIZATION", "EVENT")):
-                    out.append(Span(surface, kind, start, start + len(surface), "rules", confidence, priority))
+        for paragraph in self._PARAGRAPH.finditer(text):
+            body = paragraph[0].rstrip("\n")
+            for start, end, label in self.recognize(body):
+                kind = RECOGNIZER_LABELS.get(label)
+                start, surface = self.cleaned(body, start, end)
+                if kind and self.is_name(kind, surface, body[body.rfind("\n", 0, start) + 1 : start]):
+                    at = paragraph.start() + start
+                    out.append(Span(surface, kind, at, at + len(surface), self.name, self.CONFIDENCE, self.PRIORITY))
         return out
 
+    @staticmethod
+    def cleaned(text: str, start: int, end: int) -> tuple[int, str]:
+        """Where the name begins, and the name."""
+        line = max(re.finditer(r"[^\n]+", text[start:end]), key=lambda m: len(m[0].strip()), default=None)
+        if line is None:
+            return start, ""
+        m = re.match(r"\s*(?:the )?(.*?)(?:['’]s)?[ .,;:]*\Z", line[0], re.IGNORECASE)
+        return start + line.start() + m.start(1), m[1]
+
+    def is_name(self, kind: str, surface: str, before: str) -> bool:
+        if len(surface) < 2 or not any(map(str.isalpha, surface)) or surface.upper() in ACRONYMS:
+            return False
+        if kind == "DATE":
+            return any(map(str.isdigit, surface)) and not re.match(RELATIVE_DATE, surface, re.IGNORECASE)
+        return surface[0].isupper() and (" " in surface or not self._OPENS_LINE.match(before))
+
+
+def spacy_recognizer(model: str = "en_core_web_sm") -> Recognizer:
+    """A spaCy model as a recognizer, loaded once a worker; needs the library and the model."""
+    import spacy
+
+    spacy.util.get_package_path(model)
+    held: dict[str, object] = {}
+
+    def recognize(text: str) -> Iterable[tuple[int, int, str]]:
+        if "nlp" not in held:
+            import spacy
+
+            held["nlp"] = spacy.load(model, disable=["lemmatizer", "parser"])
+        return [(e.start_char, e.end_char, e.label_) for e in held["nlp"](text).ents]
+
+    return recognize
+
+
+def extractors_by_name(kind: str = "auto") -> tuple[Extractor, ...]:
+    """``rules``; ``spacy`` (rules and a model, an error without one); ``auto`` (a model where there is one)."""
+    if kind not in ("auto", "spacy", "rules"):
+        raise ValueError(f"unknown extractor {kind!r}")
+    found: tuple[Extractor, ...] = (RuleExtractor(),)
+    if kind != "rules":
+        try:
+            found += (StatisticalExtractor(spacy_recognizer(), "spacy"),)
+        except (ImportError, OSError):
+            if kind == "spacy":
+                raise
+    return found
+
 
 def without_overlaps(spans: Iterable[Span]) -> list[Span]:
     """The spans that no better one overlaps: higher priority first, then longer, then earlier."""

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from sievewright.config import Weights
 from sievewright.functions.vectors import dot
+from sievewright.sources.shared import stored
 
 #: Query vectors of up to so many rows are broadcast against the chunks.
 MAX_BROADCAST_QUERIES = 10_000
@@ -40,13 +45,74 @@ def vector_scores(queries: DataFrame, chunks: DataFrame, candidates: DataFrame |
     return pairs.select("query_id", "chunk_id", dot(F.col("_query"), F.col("_chunk")).alias("score"))
 
 
+def best_of_batches(pick: Callable[[pa.RecordBatch], Iterator[tuple[np.ndarray, np.ndarray]]], asked: pa.Array, k: int):
+    """Maps batches of ``chunk_id, embedding, ...`` to the ``k`` best rows of each query among them: ``query_id, chunk_id, score``.
+
+    ``pick`` gives rows of a batch and a matrix of their scores by query (not a
+    number where a query does not ask for the row).  Scores equal to nine places
+    tie by the smaller id.
+    """
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place = np.empty(batch.num_rows, np.int64)  # of ids in order
+            place[pc.sort_indices(batch.column(0)).to_numpy()] = np.arange(batch.num_rows)
+            of_query, of_row, score = [], [], []
+            for rows, scores in pick(batch):
+                near = np.round(scores, 9)
+                for q in np.flatnonzero(~np.isnan(near).all(0)).tolist():
+                    own = near[:, q]
+                    some = np.flatnonzero(~np.isnan(own))
+                    if len(some) > k:
+                        least = np.partition(own[some], len(some) - k)[len(some) - k]
+                        some = some[own[some] >= least]
+                    some = some[np.lexsort((place[rows[some]], -own[some]))][:k]
+                    of_query += [q] * len(some)
+                    of_row += rows[some].tolist()
+                    score += scores[some, q].tolist()
+            yield pa.RecordBatch.from_arrays([asked.take(pa.array(of_query, pa.int64())), batch.column(0).take(pa.array(of_row, pa.int64())), pa.array(score, pa.float64())], ["query_id", "chunk_id", "score"])
+
+    return best
+
+
+def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose vector has ``dim`` numbers, and their vectors."""
+    size = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    rows = np.flatnonzero(size == dim)
+    flat = pc.list_flatten(column.take(pa.array(rows)))
+    return rows, flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+
+
 def vector_top_k(queries: DataFrame, chunks: DataFrame, k: int, block: int = 1000) -> DataFrame:
-    """The ``k`` nearest chunks of every query, exactly, in blocks of about ``block`` queries; scores equal to nine places tie."""
-    blocks = max(1, -(-queries.count() // block))
+    """The ``k`` nearest chunks of every query, exactly; scores equal to nine places tie by the smaller id.
+
+    About ``block`` queries at a time go to the executors as a matrix; a batch of
+    chunks is multiplied with it, and only its ``k`` best rows of each query
+    leave the task.  Chunks without a vector of the queries' length have no score.
+    """
+    asked = stored(queries.where("embedding is not null").select("query_id", "embedding"), "query-vectors")
+    blocks = max(1, -(-asked.count() // block))
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    parts = [queries.where(number == i) if blocks > 1 else queries for i in range(blocks)]
-    tops = (ranked(vector_scores(part, chunks).withColumn("_by", F.round("score", 9)), k, by="_by").drop("_by") for part in parts)
-    return reduce(DataFrame.unionByName, tops)
+    own = chunks.where("embedding is not null").select("chunk_id", "embedding")
+    schema = f"query_id {dict(asked.dtypes)['query_id']}, chunk_id {dict(own.dtypes)['chunk_id']}, score double"
+    parts = []
+    for i in range(blocks):
+        table = (asked.where(number == i) if blocks > 1 else asked).toArrow().combine_chunks()
+        if table.num_rows:
+            vectors = table.column("embedding").combine_chunks()
+            dim = len(vectors[0])
+            _, q = matrix(vectors, dim)
+            if len(q) < table.num_rows:
+                raise ValueError("the queries' vectors differ in length")
+
+            def pick(batch: pa.RecordBatch, q=q, dim=dim) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+                rows, vectors = matrix(batch.column(1), dim)
+                if len(rows):
+                    yield rows, vectors @ q.T
+
+            parts.append(own.mapInArrow(best_of_batches(pick, table.column("query_id").combine_chunks(), k), schema))
+    found = reduce(DataFrame.unionByName, parts) if parts else chunks.sparkSession.createDataFrame([], schema)
+    return ranked(found.withColumn("_by", F.round("score", 9)), k, by="_by").drop("_by")
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score", tie: str = "chunk_id") -> DataFrame:

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
 from typing import Protocol
+from urllib.request import Request, urlopen
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -49,6 +52,53 @@ class ExtractiveGenerator:
         return evidence.select("query_id").distinct().join(said, "query_id", "left").select("query_id", F.coalesce("answer", F.lit("")).alias("answer"))
 
 
+class GenerationError(RuntimeError):
+    """The language model did not answer."""
+
+
+def http_completion(url: str, model: str, timeout: float = 60.0) -> Callable[[str], str]:
+    """A completion by a server that takes ``model, prompt, stream, options`` as JSON and gives ``response``."""
+
+    def complete(text: str) -> str:
+        body = json.dumps({"model": model, "prompt": text, "stream": False, "options": {"temperature": 0}}).encode()
+        try:
+            with urlopen(Request(url, body, {"Content-Type": "application/json"}), timeout=timeout) as reply:
+                said = json.loads(reply.read()).get("response", "").strip()
+        except (OSError, ValueError) as e:
+            raise GenerationError(f"no completion from {url}: {e}") from e
+        if not said:
+            raise GenerationError(f"an empty completion from {url}")
+        return said
+
+    return complete
+
+
+class PromptedGenerator:
+    """Answers of a language model: ``complete`` gives the text for a prompt, on the executors, one query after the other."""
+
+    def __init__(self, complete: Callable[[str], str]):
+        self.complete = complete
+
+    def answers(self, evidence: DataFrame) -> DataFrame:
+        complete = self.complete
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                yield pd.DataFrame({"query_id": f["query_id"], "answer": [complete(p) for p in f["prompt"]]})
+
+        asked = prompt(evidence)
+        return asked.mapInPandas(run, f"query_id {dict(asked.dtypes)['query_id']}, answer string")
+
+
+def generator_by_name(name: str, embedder: Embedder | None = None, url: str | None = None, model: str | None = None, s: Generation = Generation()) -> Generator:
+    """``extractive``, or ``http`` with the address and model of a server."""
+    if name == "extractive":
+        return ExtractiveGenerator(embedder, s)
+    if name == "http" and url and model:
+        return PromptedGenerator(http_completion(url, model))
+    raise ValueError(f"no generator {name!r} with url {url!r} and model {model!r}")
+
+
 def cited_markers(answer):
     """The numbers in ``[n]``, each once, ascending."""
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda m: m.cast("int"))))

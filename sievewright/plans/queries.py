@@ -17,6 +17,7 @@ from sievewright.config import EntityRetrieval, Weights
 from sievewright.functions import text as tx
 from sievewright.functions.vectors import cosine, dot, l2_normalized
 from sievewright.operators import evaluation, fusion, graph, lexical
+from sievewright.operators.vector_index import VectorIndex
 from sievewright.sources import ingest
 from sievewright.sources.storage import cut
 
@@ -177,6 +178,13 @@ def vector_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.vector_top_k(asked, rows, 30).withColumn("score", F.round("score", 5))
 
 
+@query()
+def vector_index_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approximate index over all vectors; its recall is tested against ``vector_top_k``."""
+    asked, rows = vectors(spark, sf_dir)
+    return VectorIndex.build(rows, 16).top_k(asked, 10, probes=8).withColumn("score", F.round("score", 5))
+
+
 @query("""SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS size, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) / list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 5) AS self
 FROM embeddings""")
 def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ def rows_of(columns, rows):
     return sorted(tuple(plain(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_sql(spark, oracle, name):
     frame = QUERIES[name](spark, SF)
     expected = oracle.sql(ORACLE_SQL[name])
