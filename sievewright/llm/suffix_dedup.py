@@ -131,7 +131,7 @@ class _Names:
         order = np.argsort(key, kind="stable")  # documents ascend within a key
         ordered = key[order]
         head = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), ordered[1:] != ordered[:-1])))
-        last = np.append(head[1:], len(key)) - 1
+        last = np.append(head[1:], len(key))[: len(head)] - 1
         distinct, local = ordered[head], doc[order][head] != doc[order][last]
         bucket = ((distinct >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         deal = np.argsort(bucket, kind="stable")
@@ -217,7 +217,7 @@ def _context(buckets: int):
                 lo, hi, own, bucket = lo[order], hi[order], own[order], bucket[order]
                 used, first = np.unique(bucket, return_index=True)
                 rows: list[list] = [[], [], [], []]
-                for x, y in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True):
+                for x, y in zip(first.tolist(), [*first[1:].tolist(), len(bucket)][: len(first)], strict=True):
                     rows[0].append(lo[x:y].astype(np.uint32).tobytes())
                     rows[1].append((hi - lo)[x:y].astype(np.uint8).tobytes())
                     rows[2].append(own[x:y].tobytes())
