@@ -78,8 +78,8 @@ def evaluate(queries: DataFrame, top: DataFrame, mode: str, lexical_hits: DataFr
     weak = (F.col("best_cos").isNull() | (F.col("best_cos") < s.min_vector_similarity)) & (F.col("best_cov").isNull() | (F.col("best_cov") < s.min_lexical_coverage))
     named = F.size(F.coalesce("unknown", none)) > 0
     low = F.col("raw") < limit
-    entry = lambda n: F.when(F.col(f"s_{n}").isNotNull(), F.struct(F.round(f"s_{n}", 4).alias("value"), F.lit(n).alias("name")))
-    weakest = F.slice(F.array_sort(F.array_compact(F.array(*map(entry, signals)))), 1, 2)
+    entry = lambda i, n: F.when(F.col(f"s_{n}").isNotNull(), F.struct(F.round(f"s_{n}", 4).alias("value"), F.lit(i).alias("nth"), F.lit(n).alias("name")))
+    weakest = F.slice(F.array_sort(F.array_compact(F.array(*(entry(i, n) for i, n in enumerate(signals))))), 1, 2)
     shown = F.array_join(F.transform(weakest, lambda e: F.concat(e["name"], F.lit("="), _two(e["value"]))), ", ")
     why_weak = F.concat_ws("; ", F.when(F.col("best_cos").isNotNull(), F.concat(F.lit("best cosine similarity "), _two(F.col("best_cos")), F.lit(f" < {s.min_vector_similarity}"))), F.when(F.col("best_cov").isNotNull(), F.concat(F.lit("best query-term coverage "), _two(F.col("best_cov")), F.lit(f" < {s.min_lexical_coverage}"))))
     gates = F.when(F.col("empty"), F.array(F.lit("no_results"))).otherwise(F.array_compact(F.array(F.when(weak, F.lit("weak_evidence")), F.when(named, F.lit("unknown_entity")))))

@@ -94,15 +94,16 @@ def rank_metrics(queries: DataFrame, results: DataFrame, relevant: DataFrame, ks
     )
 
 
-def abstention_columns(abstained, answerable) -> list:
-    """Aggregate columns: true and false abstentions, misses, precision, recall, F1, false-abstention rate (null where undefined)."""
-    tp, fp, fn = F.count_if(abstained & ~answerable), F.count_if(abstained & answerable), F.count_if(~abstained & ~answerable)
+def abstention_columns(abstained, answerable, n=None) -> list:
+    """Aggregate columns: true and false abstentions, misses, precision, recall, F1, false-abstention rate (null where undefined); a row stands for ``n``."""
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.lit(1) if n is None else n)), F.lit(0)).cast("long")
+    tp, fp, fn = count(abstained & ~answerable), count(abstained & answerable), count(~abstained & ~answerable)
     precision, recall = tp / F.nullif(tp + fp, F.lit(0)), tp / F.nullif(tp + fn, F.lit(0))
     f1 = F.when(precision + recall > 0, 2 * precision * recall / (precision + recall))
     return [
         (tp + fp).alias("abstentions"), tp.alias("correct_abstentions"), fp.alias("false_abstentions"), fn.alias("missed_abstentions"),
         F.round(precision, 4).alias("abstention_precision"), F.round(recall, 4).alias("abstention_recall"), F.round(f1, 4).alias("abstention_f1"),
-        F.round(fp / F.nullif(F.count_if(answerable), F.lit(0)), 4).alias("false_abstention_rate"),
+        F.round(fp / F.nullif(count(answerable), F.lit(0)), 4).alias("false_abstention_rate"),
     ]
 
 
@@ -126,10 +127,17 @@ def rolled_up(per_query: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
 
 
 def threshold_sweep(rows: DataFrame, thresholds: tuple[float, ...] = tuple(round(0.3 + 0.025 * i, 3) for i in range(17))) -> DataFrame:
-    """Abstention metrics of ``rows (mode, split, confidence, gated, answerable)`` at every threshold."""
-    grid = rows.sparkSession.createDataFrame([(t,) for t in thresholds], "threshold double")
-    judged = rows.crossJoin(F.broadcast(grid)).withColumn("abstained", F.col("gated") | (F.col("confidence") < F.col("threshold")))
-    return abstention(judged, ("mode", "split", "threshold"))
+    """Abstention metrics of ``rows (mode, split, confidence, gated, answerable)`` at every threshold.
+
+    Rows are counted by the number of thresholds that they reach; only these
+    counts meet the thresholds.
+    """
+    limits = sorted(thresholds)
+    reached = F.when(F.col("gated"), 0).otherwise(sum((F.when(F.col("confidence") >= t, 1).otherwise(0) for t in limits), F.lit(0)))
+    counts = rows.select("mode", "split", "answerable", reached.alias("reached")).groupBy("mode", "split", "answerable", "reached").agg(F.count(F.lit(1)).alias("n"))
+    grid = F.array(*(F.struct(F.lit(i).alias("place"), F.lit(t).alias("threshold")) for i, t in enumerate(limits)))
+    judged = counts.select("*", F.inline(grid))
+    return judged.groupBy("mode", "split", "threshold").agg(*abstention_columns(F.col("place") >= F.col("reached"), F.col("answerable"), F.col("n")))
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -116,7 +116,10 @@ class Engine:
         header = cut(header_mentions(chunks, graph.alias_index(entities), entities)) if self.s.entity_retrieval.header_context else None
         related = cut(relations.relationships(chunks, placed, entities, header))
         decisions = cut(found["decisions"])
-        self.store.replace_all({"mentions": placed if header is None else placed.unionByName(header), "entities": entities, "relationships": related, "decisions": decisions})
+        everyone = placed if header is None else placed.unionByName(header)
+        # Edges and names to look up are made once here, not by every search.
+        derived = {"edges": graph.edges(related, entities), "alias_index": graph.alias_index(entities)}
+        self.store.replace_all({"mentions": everyone, "entities": entities, "relationships": related, "decisions": decisions} | derived)
 
     def resolve(self, mentions: DataFrame) -> dict[str, DataFrame]:
         """Resolution of given mentions alone, without touching the tables."""
@@ -126,7 +129,7 @@ class Engine:
         return graph.listed_entities(self.store.read("entities"), kind, contains, limit)
 
     def entity_graph(self, min_weight: float = 0.0, limit: int = 200) -> DataFrame:
-        return graph.listed_edges(graph.edges(self.store.read("relationships"), self.store.read("entities")), min_weight, limit)
+        return graph.listed_edges(self.store.read("edges"), min_weight, limit)
 
     def entity_detail(self, entity_id: str, limit: int = 200) -> dict[str, DataFrame]:
         """The entity, its mentions with what stands around them, and its relationships with names."""
@@ -166,9 +169,8 @@ class Engine:
         plans = unknown = None
         if w.entity > 0:
             entities, mentions = self.store.read("entities"), self.store.read("mentions")
-            links = cut(linking.link(queries, graph.alias_index(entities), entities, self.s.entity_retrieval))
-            edge_table = graph.edges(self.store.read("relationships"), entities)
-            plans = cut(graph.plan(queries, links, edge_table, entities, self.s.entity_retrieval))
+            links = cut(linking.link(queries, self.store.read("alias_index"), entities, self.s.entity_retrieval))
+            plans = cut(graph.plan(queries, links, self.store.read("edges"), entities, self.s.entity_retrieval))
             in_chunks = graph.chunk_entities(mentions, entities)
             entity_scores = cut(graph.entity_scores(plans, in_chunks, entities))
             hits["entity"] = lexical.top_k(entity_scores.where("score > 0"), pool)

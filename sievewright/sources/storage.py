@@ -26,6 +26,8 @@ SCHEMAS = {
     "entities": "entity_id string, canonical_name string, entity_type string, aliases array<string>, mention_count long, document_count long, surface_groups long",
     "relationships": "relationship_id string, source_entity_id string, target_entity_id string, relationship_type string, confidence double, supporting_chunk_id string, evidence string, method string",
     "decisions": "left string, right string, entity_type string, score double, decision string, features map<string,double>, reason string",
+    "edges": "src string, dst string, weight double, relation_types array<string>, n_chunks long",
+    "alias_index": "entity_id string, index string, key string",
     "postings": "chunk_id string, term string, tf long, dl long",
     "term_stats": "term string, df long",
     "corpus_stats": "n_docs long, avgdl double",
