@@ -54,7 +54,7 @@ ELL, ROWS, BANDS = 2, 2, 20
 #: Texts of a bucket that are compared all at once; larger buckets are dealt into blocks that meet in pairs.
 MAX_BLOCK, MAX_BLOCK_WORDS = 400, 1 << 22
 #: Members that meet one copy of their leader's text.
-STAR = 2048
+STAR = 256
 #: Shingles whose occurrences are multiplied at once.
 COLUMNS = 4096
 #: The least number of cells, as a power of two; a text has a quarter to half as many cells as shingles.
