@@ -598,6 +598,7 @@ def test_lm_score(spark, which, request, monkeypatch):
     """Every document of both tables, with null, empty, long and repeated ones, against plain counters."""
     frame = request.getfixturevalue(which)
     monkeypatch.setattr(lm_score, "GROUP", 3000)
+    monkeypatch.setattr(lm_score, "PIECE", 700)
     rows = texts_of(frame)
     good = {0, 2, 16, None} if which == "docs" else {i for i, _ in rows if i % 3 == 0}
     targets = spark.createDataFrame([(i,) for i in good] * 2, "doc_id long")
@@ -620,6 +621,7 @@ def test_lm_of_odd_tables(spark):
 def test_lm_counts_grow_with_the_corpus(spark, monkeypatch):
     """More words and pairs than any fixed table had: every count is exact, across many groups and buckets."""
     monkeypatch.setattr(lm_score, "GROUP", 20_000)
+    monkeypatch.setattr(lm_score, "MAX_BROADCAST_TARGETS", 5)
     rows = [(i, " ".join(f"w{(i * 7919 + j * j) % 90_000}" for j in range(2000))) for i in range(60)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     out = {r["doc_id"]: r for r in lm_score.score_documents(frame, spark.range(20).withColumnRenamed("id", "doc_id")).collect()}
