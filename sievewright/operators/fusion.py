@@ -24,21 +24,19 @@ def _query() -> WindowSpec:
     return Window.partitionBy("query_id")
 
 
-def small_or_shuffled(df: DataFrame, rows: int = MAX_BROADCAST_QUERIES) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def vector_scores(queries: DataFrame, chunks: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """``query_id, chunk_id, score``: inner products of ``queries.embedding`` and ``chunks.embedding``.
 
     With ``candidates``, only those pairs; chunks without an embedding have no
-    score.  Without them the query batch meets every chunk and is broadcast, so
-    it must be small: ``vector_top_k`` parts it into blocks.
+    score.  Without them the query batch meets every chunk and is broadcast; one
+    of more than ``MAX_BROADCAST_QUERIES`` rows is an error, as ``vector_top_k``
+    takes them in blocks.
     """
     own = chunks.where(F.col("embedding").isNotNull()).select("chunk_id", F.col("embedding").alias("_chunk"))
     asked = queries.where(F.col("embedding").isNotNull()).select("query_id", F.col("embedding").alias("_query"))
     if candidates is None:
+        if asked.limit(MAX_BROADCAST_QUERIES + 1).count() > MAX_BROADCAST_QUERIES:
+            raise ValueError(f"more than {MAX_BROADCAST_QUERIES} queries meet every chunk; vector_top_k takes them in blocks")
         pairs = own.crossJoin(F.broadcast(asked))
     else:
         pairs = candidates.select("query_id", "chunk_id").join(asked, "query_id").join(own, "chunk_id")
