@@ -45,7 +45,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     if labels is None:
         return numbers.select("node", F.col("node").alias("comp"))
     named = stored(numbers.join(labels, "number").select("node", "top"), "labels")
-    return named.join(named.groupBy("top").agg(F.min("node").alias("comp")), "top").select("node", "comp")
+    least = stored(named.groupBy("top").agg(F.min("node").alias("comp")), "least")  # a join of two tables can be split at a hot key
+    return named.join(least, "top").select("node", "comp")
 
 
 def edges(relationships: DataFrame, entities: DataFrame) -> DataFrame:
