@@ -414,6 +414,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     named = labels.join(nodes.select("node", "key", "rep").hint("merge"), "node")
     named = stored(named.select("comp", "key", "rep"), "named")
     names = named.groupBy("comp").agg(F.min("rep").alias("class_id"), F.min(F.struct(F.col("rep").isNull(), F.col("rep"), F.col("key")))["key"].alias("kept_key"))
+    names = stored(names, "names")  # a join of two tables can be split at a hot key
     found = named.join(names.hint("merge"), "comp").select("key", "class_id", (F.col("key") == F.col("kept_key")).alias("kept_text"))
     classes = nodes.select("key", "rep").join(found.hint("merge"), "key", "left")
     classes = stored(classes.select("key", F.when(F.col("kept_text").isNull(), F.col("rep")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("kept_text", F.lit(True)).alias("kept_text"), "rep"), "classes")
