@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievewright.functions.search import holding_ids
 from sievewright.functions.text import collapsed
 from sievewright.sources.shared import stored
 
 
-#: Strings to look up, of which so many at most are broadcast.
+#: Rows up to which queries, strings and documents are broadcast.
 MAX_BROADCAST_NEEDLES = 100_000
 
 
@@ -25,49 +26,51 @@ class EvaluationError(ValueError):
 def relevance(queries: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
     """``query_id, chunk_id`` of chunks that hold an evidence string of the query, from one of its sources.
 
-    Evidence strings meet the chunks by a word of theirs (see ``holding``).
+    All strings are looked up in one pass over the chunks (see ``holding_ids``).
 
     ``queries`` has ``query_id, answerable, relevant_sources, evidence,
-    relevant_chunk_ids``.  A chunk is compared only with the evidence of queries
-    that name its document's file; a query without sources is compared with all.
-    An evidence string that no chunk holds is an error.
+    relevant_chunk_ids``.  A chunk counts for the queries that name its
+    document's file, and for every query without sources.  An evidence string
+    that no chunk holds is an error.
     """
-    wanted = queries.where("answerable").select("query_id", F.explode("evidence").alias("evidence"), "relevant_sources").withColumn("needle", collapsed(F.col("evidence")))
-    texts = chunks.join(documents.select("document_id", "filename"), "document_id").select("chunk_id", "filename", collapsed(F.col("text")).alias("hay"))
-    sourced = wanted.where(F.size("relevant_sources") > 0).select("query_id", "needle", F.explode("relevant_sources").alias("filename"))
-    found = sourced.join(texts, "filename").where(F.contains("hay", "needle")).select("query_id", "needle", "chunk_id")
-    free = wanted.where(F.size("relevant_sources") == 0).select("query_id", "needle")
-    if not free.isEmpty():
-        found = found.unionByName(holding(texts, free).select("query_id", "needle", "chunk_id"))
-    lost = wanted.select("query_id", "needle").distinct().join(found, ["query_id", "needle"], "left_anti").limit(5).collect()
+    wanted = queries.where("answerable").select("query_id", F.explode("evidence").alias("evidence"), "relevant_sources").withColumn("needle", collapsed(F.col("evidence"))).drop("evidence")
+    wanted, needles = _numbered(wanted)
+    texts = chunks.select("chunk_id", "document_id", collapsed(F.col("text")).alias("hay"))
+    hits = holding_ids(texts, needles).join(_few(documents.select("document_id", "filename")), "document_id", "left").select("chunk_id", "filename", "needle_id")
+    hits = stored(hits, "hits")
+    sourced = wanted.where(F.size("relevant_sources") > 0).select("query_id", "needle_id", F.explode("relevant_sources").alias("filename"))
+    free = wanted.where(F.size("relevant_sources") == 0).select("query_id", "needle_id")
+    seen = hits.select("needle_id", "filename").distinct()
+    held = sourced.join(seen, ["needle_id", "filename"], "left_semi").select("query_id", "needle_id").unionByName(free.join(seen, "needle_id", "left_semi"))
+    lost = wanted.select("query_id", "needle_id", "needle").join(held.distinct(), ["query_id", "needle_id"], "left_anti").select("query_id", "needle").distinct().limit(5).collect()
     if lost:
-        raise EvaluationError(f"no chunk holds the evidence of {[(r['query_id'], r['needle'][:60]) for r in lost]}")
+        raise EvaluationError(f"no chunk holds the evidence of {[(r['query_id'], (r['needle'] or '')[:60]) for r in lost]}")
+    # Sources as a set: hits dealt out by chunk are joined once and stay where they are, so the pairs need no exchange to be distinct.
+    # A stated number of partitions, as hits are few beside the pairs that they make.
+    n = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = F.when(F.size("relevant_sources") > 0, F.col("relevant_sources"))
+    asked = wanted.where("relevant_sources is not null").select("query_id", F.col("needle_id").alias("_needle"), names.alias("_names"))
+    here = (F.col("needle_id") == F.col("_needle")) & (F.col("_names").isNull() | F.array_contains("_names", F.col("filename")))
+    found = hits.repartition(n, "chunk_id").join(_few(asked), here).select("query_id", "chunk_id")
     given = queries.where("answerable").select("query_id", F.explode(F.coalesce("relevant_chunk_ids", F.array().cast("array<string>"))).alias("chunk_id"))
-    return found.select("query_id", "chunk_id").unionByName(given).distinct()
+    return (found if given.isEmpty() else found.unionByName(given)).distinct()
 
 
-def holding(texts: DataFrame, needles: DataFrame) -> DataFrame:
-    """``query_id, needle, chunk_id`` of ``texts (chunk_id, hay)`` that hold a string of ``needles (query_id, needle)``; both collapsed.
+def _few(df: DataFrame) -> DataFrame:
+    """``df`` with a broadcast hint if it was counted to be small."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_NEEDLES else df
 
-    A word of the string with a space on either side must be a word of the text.
-    The longest such word is looked up, and only texts that have it are
-    searched.  Strings of one or two words have none and meet every text.
-    """
-    inner = F.slice(F.split("needle", " "), 2, F.greatest(F.size(F.split("needle", " ")) - 2, F.lit(0)))
-    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = stored(needles.select("query_id", "needle", longest.alias("_anchor")), "needles")
-    rows = stored(texts.select("chunk_id", "hay"), "texts")
-    words = rows.select("chunk_id", F.explode(F.array_distinct(F.split("hay", " "))).alias("_anchor"))
-    anchors = keyed.where("_anchor is not null")
-    few = anchors.select("_anchor").distinct()
-    few = F.broadcast(few) if few.count() <= MAX_BROADCAST_NEEDLES else few
-    places = stored(words.join(few, "_anchor", "left_semi"), "places")
-    pairs = places.join(anchors, "_anchor").select("query_id", "needle", "chunk_id").join(rows, "chunk_id").where(F.contains("hay", "needle"))
-    short = keyed.where("_anchor is null").select("query_id", "needle")
-    if short.isEmpty():
-        return pairs.select("query_id", "needle", "chunk_id")
-    every = rows.join(F.broadcast(short) if short.count() <= MAX_BROADCAST_NEEDLES else short, F.contains("hay", "needle"))  # strings of a stated query set
-    return pairs.select("query_id", "needle", "chunk_id").unionByName(every.select("query_id", "needle", "chunk_id"))
+
+def _numbered(wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``wanted`` with ``needle_id``, and the different strings with theirs."""
+    needles = stored(wanted.where("needle is not null").select("needle").distinct().withColumn("needle_id", F.monotonically_increasing_id()), "needles")
+    return stored(wanted.join(_few(needles), "needle", "left"), "wanted"), needles
+
+
+def holding(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """``query_id, needle, chunk_id`` of ``texts (chunk_id, hay)`` that hold a string of ``needles (query_id, needle)``; both collapsed."""
+    wanted, strings = _numbered(needles.select("query_id", "needle"))
+    return holding_ids(texts.select("chunk_id", "hay"), strings).join(_few(wanted), "needle_id").select("query_id", "needle", "chunk_id")
 
 
 def rank_metrics(queries: DataFrame, results: DataFrame, relevant: DataFrame, ks: tuple[int, ...] = (1, 3, 5, 10), ndcg_k: int = 10) -> DataFrame:

@@ -145,6 +145,50 @@ def test_evidence_of_few_words(spark):
     assert sorted((r["query_id"], r["chunk_id"]) for r in evaluation.holding(texts, needles).collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 2), (3, 3), (5, 1), (5, 3)]
 
 
+def test_strings_in_texts_by_brute_force(spark, monkeypatch):
+    """Random strings of every length against random texts, in steps of any size, with colliding hashes, and in several parts."""
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from sievewright.functions import search
+
+    r = random.Random(5)
+    made = lambda n: "".join(r.choices("ab é", k=r.randrange(n))).encode()
+
+    def check(times):
+        for _ in range(times):
+            texts = [made(90) for _ in range(r.randrange(6))]
+            strings = sorted({made(r.choice((3, 12, 40))) for _ in range(8)} | {t[r.randrange(9) : r.randrange(1, 80)] for t in texts})
+            found = search.Strings(np.arange(len(strings)), pa.array(strings, pa.binary())).found(*search._bytes_of(pa.array(texts, pa.binary())))
+            assert list(zip(*(x.tolist() for x in found), strict=True)) == [(i, j) for i, t in enumerate(texts) for j, s in enumerate(strings) if s in t]
+
+    for step in (5, 64, search.STEP):
+        monkeypatch.setattr(search, "STEP", step)
+        check(60)
+    monkeypatch.setattr(search, "_mix", lambda a, b: np.zeros(np.broadcast(a, b).shape, np.uint64))
+    check(60)
+    monkeypatch.undo()
+    monkeypatch.setattr(search, "MAX_BYTES", 64)
+    texts = [(i, f"one {i} two {i * i}") for i in range(40)] + [(40, None)]
+    needles = [(i, f"{i} two") for i in range(40)] + [(40, None), (41, "")]
+    rows = search.holding_ids(spark.createDataFrame(texts, "chunk_id long, hay string"), spark.createDataFrame(needles, "needle_id long, needle string")).collect()
+    assert sorted(map(tuple, rows)) == sorted((i, j) for i, t in texts for j, s in needles if t is not None and s is not None and s in t)
+
+
+def test_relevance_of_odd_chunks(spark):
+    """Chunks without a document count for queries without sources; several sources, strings and given chunks give a pair once."""
+    chunks = spark.createDataFrame([("a", "d1", "The  quay of boats"), ("b", "d2", "a quay of boats here"), ("c", None, "QUAY of boats"), ("d", "d9", "quay of boats"), ("e", "d1", None)], "chunk_id string, document_id string, text string")
+    documents = spark.createDataFrame([("d1", "f1"), ("d2", "f2")], "document_id string, filename string")
+    queries = [("free", True, [], ["Quay of boats"], None), ("one", True, ["f1"], ["quay of boats", "the quay"], None), ("two", True, ["f1", "f2", "f1"], ["quay of"], ["z", "a"]), ("none", False, ["f1"], ["unheard of"], None)]
+    asked = spark.createDataFrame(queries, "query_id string, answerable boolean, relevant_sources array<string>, evidence array<string>, relevant_chunk_ids array<string>")
+    out = evaluation.relevance(asked, chunks, documents)
+    assert sorted(map(tuple, out.collect())) == [*(("free", c) for c in "abcd"), ("one", "a"), ("two", "a"), ("two", "b"), ("two", "z")]
+    with pytest.raises(evaluation.EvaluationError):
+        evaluation.relevance(asked.selectExpr("query_id", "answerable", "array('f2') AS relevant_sources", "evidence", "relevant_chunk_ids"), chunks, documents)
+
+
 def test_postings_of_odd_chunks(spark):
     rows = [("a", None), ("b", ""), ("c", "The state-of-the-art x 7 X.y’s 7"), ("d", " ".join(f"word{i % 50}" for i in range(20_000)))]
     post = lexical.postings(spark.createDataFrame(rows, "chunk_id string, search_text string"), stem=False)

@@ -32,3 +32,12 @@ def test_query_equals_sql(spark, oracle, name):
     expected = oracle.sql(ORACLE_SQL[name])
     assert sorted(frame.columns) == sorted(expected.columns)
     assert rows_of(frame.columns, frame.collect()) == rows_of(expected.columns, expected.fetchall())
+
+
+def test_relevance_of_documents_without_source(spark, oracle, tmp_path):
+    """Documents without a source ask only where every hundredth does, and are found by those."""
+    oracle.sql(f"COPY (SELECT * REPLACE (CASE WHEN doc_id % 3 = 0 THEN source END AS source) FROM documents) TO '{tmp_path}/documents.parquet'")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    frame, expected = QUERIES["relevance"](spark, str(tmp_path)), con.sql(ORACLE_SQL["relevance"])
+    assert rows_of(frame.columns, frame.collect()) == rows_of(expected.columns, expected.fetchall())
