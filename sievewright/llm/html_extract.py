@@ -24,10 +24,9 @@ more than its share; a reference tree bounds the rows of a host.
 
 Broken and hostile pages: a quote that no quote closes before much markup ends
 with its tag; what follows an unclosed comment, script or tag belongs to it;
-elements deeper than ``MAX_DEPTH`` lie beside each other, with all their text;
-trees whose sizes multiply to more than ``EXACT`` are matched child by child in
-order of kinds, not by the best match.  All walks are loops, and the work is
-linear in the page.
+elements deeper than ``MAX_DEPTH`` lie beside each other, with all their text.
+All walks are loops, and the work is linear in the page but for the matching of
+trees, which is the best match whatever their size (see ``match_trees``).
 
 Defined results: a null page counts as empty and has the empty text; a null url
 is the host ''; a host with one page has no votes, and its marks and kinds alone
@@ -38,11 +37,12 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,8 +55,8 @@ CONSTANT, MIN_PAGES = 0.6, 3
 NEAR = 0.2
 #: Reference pages of at most so many bytes in all are broadcast.
 MAX_BROADCAST_BYTES = 16 << 20
-#: Depth of a page's tree; product of the sizes of two trees up to which the best match is found.
-MAX_DEPTH, EXACT = 256, 40_000
+#: Depth of a page's tree.
+MAX_DEPTH = 256
 #: Characters of a quoted value behind the first "<" in it.
 MAX_QUOTED = 4096
 
@@ -352,68 +352,124 @@ def frame_of(root: Node) -> tuple[Frame, list[Frame]]:
     return top, order
 
 
+class _Shapes:
+    """Subtrees of two trees by shape: kinds of the path to the root, and shapes of the children."""
+
+    def __init__(self):
+        self.paths: dict[tuple[int, str], int] = {}
+        self.known: dict[tuple[int, tuple[int, ...]], int] = {}
+
+    def of(self, top: Frame) -> tuple[dict[int, int], dict[int, dict[int, int]]]:
+        """The shape of every frame by identity; the shapes of every path, each with its place among them."""
+        order, todo = [], [(top, -1)]
+        while todo:
+            frame, above = todo.pop()
+            path = self.paths.setdefault((above, frame.key), len(self.paths))
+            order.append((frame, path))
+            todo += [(c, path) for c in frame.children]
+        shape: dict[int, int] = {}
+        by_path: dict[int, dict[int, int]] = {}
+        for frame, path in reversed(order):  # children before their parents
+            one = self.known.setdefault((path, tuple([shape[id(c)] for c in frame.children])), len(self.known))
+            shape[id(frame)] = one
+            places = by_path.setdefault(path, {})
+            places.setdefault(one, len(places))
+        return shape, by_path
+
+
+def _below(above: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The next row of the best matches of two lists of children, for matches worth ``w``; rows of many pairs of lists at once."""
+    out = np.zeros_like(above)
+    np.maximum.accumulate(np.maximum(above[..., 1:], above[..., :-1] + w), axis=-1, out=out[..., 1:])
+    return out
+
+
 def match_trees(a: Frame, b: Frame, pairs: list[tuple[Frame, Frame]]) -> int:
     """Simple tree matching: the size of the largest order-preserving match, its pairs appended to ``pairs``.
 
-    Trees whose sizes multiply to more than ``EXACT`` have their children paired in order of kinds.
+    Equal subtrees are measured once, and each with all of the other tree at a
+    time.  The work is at most the product of the numbers of different
+    subtrees' children on the same path, for trees of any size.
     """
+    if a.key != b.key:
+        return 0
+    shapes = _Shapes()
+    (shape_a, ours), (shape_b, theirs) = shapes.of(a), shapes.of(b)
+    path_of, kids_of = zip(*shapes.known, strict=True)
+    #: By path: sizes of the best matches of our shapes with theirs, and a last column of zeros.
+    worth: dict[int, np.ndarray] = {}
+
+    def places(kids: np.ndarray, path: int) -> np.ndarray:
+        """Columns of ``worth[path]`` for shapes ``kids``; the last for those of other paths."""
+        own = theirs[path]
+        return np.array([own.get(k, len(own)) for k in kids.ravel().tolist()], np.int64).reshape(kids.shape)
+
+    if shape_a[id(a)] != shape_b[id(b)]:
+        for path in sorted(ours.keys() & theirs.keys(), reverse=True):  # children before their parents
+            worth[path] = table = np.ones((len(ours[path]), len(theirs[path]) + 1), np.int32)
+            table[:, -1] = 0
+            groups: dict[int, list[tuple[int, tuple[int, ...]]]] = {}
+            for y, at in theirs[path].items():
+                if kids_of[y]:
+                    groups.setdefault(len(kids_of[y]).bit_length(), []).append((at, kids_of[y]))
+            parents = [(at, kids_of[x]) for x, at in ours[path].items() if kids_of[x]]
+            for group in groups.values() if parents else ():
+                wide = max(len(kids) for _, kids in group)
+                kids = np.array([[*k, *[-1] * (wide - len(k))] for _, k in group], np.int64)
+                columns = {p: places(kids, p) for p in {path_of[k] for _, own in group for k in own} if p in worth}
+                at_y = [at for at, _ in group]
+                for at, own in parents:
+                    row = np.zeros((len(group), wide + 1), np.int32)
+                    for k in own:
+                        if (p := path_of[k]) in columns:
+                            row = _below(row, worth[p][ours[p][k]][columns[p]])
+                    table[at, at_y] += row[:, -1]
     size, todo = 0, [(a, b)]
     while todo:
         x, y = todo.pop()
-        if x.key != y.key:
-            continue
-        if x.weight * y.weight <= EXACT:
-            size += _best_match(x, y, pairs)
-            continue
         pairs.append((x, y))
         size += 1
-        places: dict[str, list[int]] = {}
-        for j, child in enumerate(y.children):
-            places.setdefault(child.key, []).append(j)
-        j = -1
-        for child in x.children:
-            later = places.get(child.key, [])
-            at = bisect_right(later, j)
-            if at < len(later):
-                j = later[at]
-                todo.append((child, y.children[j]))
+        if shape_a[id(x)] == shape_b[id(y)]:
+            todo += zip(x.children, y.children, strict=True)
+            continue
+        # Equal first children are a best match, and the one that the steps back come to.
+        k = 0
+        while k < min(len(x.children), len(y.children)) and shape_a[id(x.children[k])] == shape_b[id(y.children[k])]:
+            k += 1
+        todo += zip(x.children[:k], y.children[:k], strict=True)
+        left, right = x.children[k:], y.children[k:]
+        if not left or not right:
+            continue
+        of_left, kids = [shape_a[id(c)] for c in left], np.array([shape_b[id(c)] for c in right], np.int64)
+        columns = {p: places(kids, p) for p in {path_of[i] for i in of_left} if p in worth}
+        zeros = np.zeros(len(right), np.int32)
+        step = lambda row, i: _below(row, worth[p][ours[p][of_left[i]]][columns[p]] if (p := path_of[of_left[i]]) in columns else zeros)
+        # Every so many rows are kept, and those between are made again on the way back.
+        every = isqrt(len(left)) + 1
+        row, kept = np.zeros(len(right) + 1, np.int32), []
+        for i in range(len(left)):
+            if i % every == 0:
+                kept.append(row)
+            row = step(row, i)
+        i, j = len(left), len(right)
+        while i and j:
+            first = (i - 1) // every * every
+            rows = [kept[first // every]]
+            for n in range(first, i):
+                rows.append(step(rows[-1], n))
+            best = [r.tolist() for r in rows]
+            while i > first and j:
+                here, up = best[i - first], best[i - first - 1]
+                if here[j] > up[j] and here[j] > here[j - 1]:
+                    i, j = i - 1, j - 1
+                    todo.append((left[i], right[j]))
+                elif up[j] >= here[j - 1]:
+                    i -= 1
+                else:
+                    j -= 1
     return size
 
 
-def _best_match(a: Frame, b: Frame, pairs: list[tuple[Frame, Frame]]) -> int:
-    if a.key != b.key:
-        return 0
-    pairs.append((a, b))
-    m, n = len(a.children), len(b.children)
-    if not m or not n:
-        return 1
-    below: dict[tuple[int, int], list[tuple[Frame, Frame]]] = {}
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        row, above = best[i], best[i - 1]
-        x = a.children[i - 1]
-        for j in range(1, n + 1):
-            y = b.children[j - 1]
-            value = above[j] if above[j] >= row[j - 1] else row[j - 1]
-            if x.key == y.key:
-                inner: list[tuple[Frame, Frame]] = []
-                w = above[j - 1] + _best_match(x, y, inner)  # no deeper than EXACT allows
-                if w > value:
-                    value = w
-                    below[i, j] = inner
-            row[j] = value
-    i, j = m, n
-    while i and j:
-        if (i, j) in below and best[i][j] > best[i - 1][j] and best[i][j] > best[i][j - 1]:
-            pairs += below[i, j]
-            i, j = i - 1, j - 1
-        elif best[i - 1][j] >= best[i][j - 1]:
-            i -= 1
-        else:
-            j -= 1
-    return 1 + best[m][n]
-
-
 class Wrapper:
     """A host's reference tree with the votes on its frames."""
 

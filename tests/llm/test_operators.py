@@ -793,6 +793,33 @@ def test_tree_matching_by_brute_force():
         assert html_extract.match_trees(a, b, pairs) == best(a, b) == len(pairs)
 
 
+def test_tree_matching_of_any_size():
+    """Large trees have the best match as small ones have: rows that moved, and random rows by a plain table for every pair of nodes."""
+    import random
+
+    frame = lambda h: html_extract.frame_of(html_extract.parse(f"<body>{h}</body>"))[0]
+    for n in (2, 90, 400):
+        row, pairs = "<div><p>x</p><ul>u</ul></div>" * n, []
+        assert html_extract.match_trees(frame("<table>t</table>" + row), frame(row + "<table>t</table>"), pairs) == len(pairs) == 3 * n + 2
+
+    def best(a, b):
+        if a.key != b.key:
+            return 0
+        table = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+        for i, x in enumerate(a.children, 1):
+            for j, y in enumerate(b.children, 1):
+                table[i][j] = max(table[i - 1][j], table[i][j - 1], table[i - 1][j - 1] + best(x, y))
+        return 1 + table[-1][-1]
+
+    r = random.Random(8)
+    kinds = ("<p>a</p>", "<ul>b</ul>", "<h2>c</h2>", "<section><p>x</p><table>y</table></section>")
+    page = lambda n: frame("".join(f"<div>{''.join(r.choices(kinds, k=r.randrange(7)))}</div>" for _ in range(n)))
+    for n in (5, 60, 80):
+        a, b, pairs = page(n), page(n + 9), []
+        assert html_extract.match_trees(a, b, pairs) == best(a, b) == len(pairs)
+        assert all(x.key == y.key for x, y in pairs) and [y.number for _, y in sorted(pairs, key=lambda p: p[0].number)] == sorted(y.number for _, y in pairs)
+
+
 def test_tree_matching():
     a = html_extract.frame_of(html_extract.parse("<div><p>1</p><ul><li>x</li></ul><p>2</p></div>"))[0]
     b = html_extract.frame_of(html_extract.parse("<div><ul><li>y</li></ul><p>3</p><table><tr><td>z</table></div>"))[0]
